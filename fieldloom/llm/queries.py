@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -25,6 +31,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencounts import count_tokens
 
@@ -62,7 +74,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_simhash, op5_token_counts, op6_secret_scan, op7_decontamination, op8_line_dedup, op9_license_scan, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_simhash, op4_language_id, op5_token_counts, op6_secret_scan, op7_decontamination, op8_line_dedup, op9_license_scan, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
