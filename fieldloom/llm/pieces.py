@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 PRIOR, BYTE, MARK = 2.7, 12_000_000, "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 NONE = (1 << 31) - 1
-TYPES_KEPT = 300_000
+TYPES_KEPT = 500_000
 
 
 def default_model() -> str:
@@ -47,7 +47,7 @@ class PieceModel:
 
         sp = SentencePieceProcessor(model_proto=raw)
         self.n_best = n_best
-        self.edges: dict[str, tuple[int, int]] = {}
+        self.edges: dict[str, tuple[int, int] | tuple[()]] = {}
         self.byte_ids: list[int] = [0] * 256
         self.text: list[str | None] = []
         self.byte_of: dict[int, int] = {}
@@ -63,6 +63,9 @@ class PieceModel:
                 if MARK in piece.lstrip(MARK) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} crosses a unit's end")
         self.longest = max(map(len, self.edges))
+        for piece in list(self.edges):  # beginnings of pieces, so that a search stops where no piece goes on
+            for k in range(1, len(piece)):
+                self.edges.setdefault(piece[:k], ())
         self.types: dict[str, tuple[bytes, bytes, bytes]] = {}
 
     def search(self, unit: str, n_best: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
@@ -73,12 +76,15 @@ class PieceModel:
         for s in range(n):
             base = least[s]
             for e in range(s + 1, min(n, s + longest) + 1):
-                if found := get(unit[s:e]):
+                found = get(unit[s:e])
+                if found is None:
+                    break
+                if found:
                     i, cost = found
                     into[e].append((s, cost, i))
                     if base + cost < least[e]:
                         least[e] = base + cost
-            if get(unit[s]) is None:
+            if not get(unit[s]):
                 raw = unit[s].encode("utf-8", "surrogatepass")
                 cost = BYTE * len(raw)
                 into[s + 1].append((s, cost, tuple(self.byte_ids[b] for b in raw)))
