@@ -44,7 +44,7 @@ def fit(rows: DataFrame, classifier: str = "logreg", features: tuple[str, ...] =
         raise ValueError(f"{classifier} is not available: logreg, forest, hgb")
     indexer = stages[0].fit(weighted)
     decode = IndexToString(inputCol="__y", outputCol="predicted_label", labels=indexer.labels)
-    return Pipeline(stages=[indexer.setHandleInvalid("keep"), stages[1], learner, decode]).fit(weighted)
+    return Pipeline(stages=[indexer, stages[1], learner, decode]).fit(weighted)
 
 
 def classes(model: PipelineModel) -> list[str]:
@@ -53,8 +53,9 @@ def classes(model: PipelineModel) -> list[str]:
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     """features with p_name, p_birth_date, p_address and predicted_label; a class that training never saw has probability 0."""
-    blank = features if "label" in features.columns else features.withColumn("label", F.lit("other"))
-    out = model.transform(blank)
+    own = "label" in features.columns
+    rows = features.withColumnRenamed("label", "__own") if own else features
+    out = model.transform(rows.withColumn("label", F.lit(classes(model)[0])))
     if "__p" in out.columns:
         p = vector_to_array("__p")
     else:  # one-vs-rest gives a score per class
@@ -62,7 +63,8 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
         p = F.transform(raw, lambda s: s / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
     at = {c: i for i, c in enumerate(classes(model))}
     probs = {f"p_{f}": p[at[f]] if f in at else F.lit(0.0) for f in ("name", "birth_date", "address")}
-    return out.withColumns(probs).drop("__x", "__label", "__p", "__y", "__raw", *([] if "label" in features.columns else ["label"]))
+    out = out.withColumns(probs).drop("__x", "__label", "__p", "__y", "__raw", "label")
+    return out.withColumnRenamed("__own", "label") if own else out
 
 
 def top_coefficients(model: PipelineModel, k: int = 4, features: tuple[str, ...] = FEATURES) -> dict[str, list[tuple[str, float]]]:
