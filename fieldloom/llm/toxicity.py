@@ -78,8 +78,10 @@ def learn_terms(rows: list[tuple[list[str], bool, float]], most: int = 400) -> t
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
     raw: Counter = Counter()
     kinds: set[tuple[str, bool]] = set()  # a group of near copies is one witness
+    shared = Counter(w for ws, _, _ in rows for w in ws if len(w) >= 7)
+    rare = max(3, len(rows) // 50)
     for ws, toxic, weight in rows:
-        kind = min((w for w in ws if len(w) >= 9), key=lambda w: zlib.crc32(w.encode()), default=" ".join(ws))
+        kind = min((w for w in ws if len(w) >= 7 and shared[w] <= rare), key=lambda w: zlib.crc32(w.encode()), default=" ".join(ws))
         if (kind, toxic) in kinds:
             continue
         kinds.add((kind, toxic))
@@ -143,15 +145,15 @@ class LabelModel:
         return p
 
 
-def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.5, steps: int = 25) -> np.ndarray:
-    """Weights and, last, the intercept: Newton steps with a ridge on all but the intercept."""
+def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, centre: np.ndarray, ridge: float = 0.5, steps: int = 25) -> np.ndarray:
+    """Weights and, last, the intercept: Newton steps with a ridge towards centre on all but the intercept."""
     x = np.concatenate([x, np.ones((len(x), 1))], 1)
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-4
-    w = np.zeros(x.shape[1])
+    w = centre.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - target)) + penalty * w
+        g = x.T @ (weight * (p - target)) + penalty * (w - centre)
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
         size = np.abs(step).max()
@@ -170,12 +172,16 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def prior_only() -> Toxicity:
-    """What decides without labelled rows: two fixed words make a text toxic."""
-    lexicon = Lexicon([], [])
+def prior_weights(lexicon: Lexicon) -> np.ndarray:
+    """What holds where labelled rows say nothing: two fixed words make a text toxic."""
     w = np.zeros(lexicon.size + 1)
     w[-1], w[len(lexicon.terms)], w[len(lexicon.terms) + 1] = -4.0, 2.0, 4.0
-    return Toxicity(lexicon, w)
+    return w
+
+
+def prior_only() -> Toxicity:
+    lexicon = Lexicon([], [])
+    return Toxicity(lexicon, prior_weights(lexicon))
 
 
 def fit(rows: list[tuple[str | None, bool, float]]) -> Toxicity:
@@ -189,7 +195,9 @@ def fit(rows: list[tuple[str | None, bool, float]]) -> Toxicity:
         x[i, lexicon.features(text)] = 1
     human, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     posterior = LabelModel().fit(votes(x > 0, lexicon), human, weight)
-    return Toxicity(lexicon, logistic(x, posterior, weight))
+    centre = prior_weights(lexicon)
+    centre[-1] = 0.0
+    return Toxicity(lexicon, logistic(x, posterior, weight, centre))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Toxicity:
