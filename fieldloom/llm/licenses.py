@@ -33,7 +33,7 @@ TEMPLATES = {
     "gpl-reference": "licensed under the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license <<optional>>version<<end>> <<any:2>>",
     "cc-by-nc-reference": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc <<any:2>>",
     "cc-by-nc-long": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution noncommercial <<any:2>> <<optional>>international<<end>> <<optional>>license<<end>>",
-    "cc-by-reference": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by <<any:2>>",
+    "cc-by-reference": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> cc by <<optional>>3<<end>> <<optional>>4<<end>> 0",
     "spdx-tag": "spdx license identifier <<any:6>>",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software <<optional>>the software is provided as is without warranty of any kind express or implied<<end>>",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",

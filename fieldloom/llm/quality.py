@@ -12,6 +12,7 @@ without words have rates of zero. Repeated rows are judged each by itself. An em
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 
 from .common import ASCII_SPACE, stash
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouted")])
 ARROW = pa.struct([(f.name, pa.int64()) for f in BASE.fields])
@@ -30,7 +32,7 @@ RATES = {"symbol_rate": 200, "dup_line_rate": 300, "repeat_rate": 200, "shout_ra
 
 
 def base_figures(text: str | None) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then lines with a word and words without a-z letters in upper case."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then lines with a word and upper-case words over three characters."""
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -46,7 +48,7 @@ def base_figures(text: str | None) -> tuple[int, ...]:
             if seen[w] > 1:
                 covered += i + 3 - max(i, end)
                 end = i + 3
-    shouted = sum(1 for w in text.split() if w.isupper() and len(w) > 3)
+    shouted = sum(1 for w in WORD.findall(text) if len(w) > 3 and w.isupper())
     return n, chars, symbols, len(lines) - len(set(lines)), covered, len(lines), shouted
 
 
