@@ -189,7 +189,7 @@ def common_keys(keys: DataFrame, min_docs: int, shard_keys: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, shard_keys: int = 8192) -> DataFrame:
-    """All columns of docs, and `lines`: struct(text, n_lines, n_dropped, sha256) of what stays.
+    """`row`: a struct of docs' columns as they are, and `kept`: struct(text, n_lines, n_dropped, sha256) of what stays.
 
     `way` only brings lost keys to their rows: rows that share one get the union, which is right, as a lost key is lost everywhere.
     """
@@ -197,7 +197,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, shard_keys: int = 8192) ->
     keys = stash(docs.select(way.alias("way"), "text").mapInArrow(_keys_of, "way long, a long, b long"), "line-keys")
     hits = common_keys(keys, min_docs, shard_keys)
     lost = hits.distinct().groupBy("way").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    whole = docs.select(way.alias("__way"), F.struct(*docs.columns).alias("__row"))
-    met = whole.join(lost, whole["__way"] == lost["way"], "left")
-    return met.select("__row", without_lines("__row.text", "lost").alias("lines")).select("__row.*", "lines")
+    whole = docs.select(way.alias("to"), F.struct(*docs.columns).alias("row"))
+    return whole.join(lost, whole["to"] == lost["way"], "left").select("row", without_lines("row.text", "lost").alias("kept"))
 
