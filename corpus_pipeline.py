@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; n_chars follows the text. A document stays even if no line is left of it."""
     ship(spark)
-    kept = dedup_lines(docs)
-    return kept.withColumns({"text": F.col("lines.text"), "n_chars": F.length("lines.text").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    new = {"text": F.col("kept.text"), "n_chars": F.length("kept.text").cast(docs.schema["n_chars"].dataType)}
+    return dedup_lines(docs).select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with the best segmentation, its rivals and the round trip through decoding."""
     ship(spark)
-    return docs.withColumn("encoded", encoder()("text")).select(*docs.columns, "encoded.*")
+    out = docs.select(F.struct(*docs.columns).alias("row"), encoder()("text").alias("encoded"))
+    names = {f.name for f in out.schema["encoded"].dataType.fields}
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in names], "encoded.*")
 
 
 STAGES = [
