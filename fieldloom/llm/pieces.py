@@ -8,8 +8,9 @@ which so yields whole segmentations from best to worst and visits little else. T
 completes first: nodes nearer to the start, then those reached earlier.
 
 No piece holds a U+2581 after another character, nor a line feed (both are checked when the model is loaded), so the places before each run of
-U+2581 and around each line feed cut the lattice in independent units. Each distinct unit is searched once per worker and kept in a bounded table;
-a document's N best are merged from its units' lists: one can only differ from the best in the N-1 units with the smallest losses.
+U+2581 and around each line feed cut the lattice in independent units. A worker's new units take their Viterbi passes together, and a bounded table
+keeps their best pieces and the loss of their second best. A document's N best can only differ from the best in the N-1 units with the smallest losses: these
+are searched, and their lists merged.
 
 Decoding joins pieces and bytes, turns U+2581 to spaces and drops the one in front. It gives the text back, but for U+2581 in
 the text itself, which becomes a space, as in the public library.
@@ -23,7 +24,7 @@ import heapq
 import math
 import os
 import re
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from pyspark.sql import types as T
 PRIOR, BYTE, MARK = 2.7, 12_000_000, "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 NONE = (1 << 31) - 1
-TYPES_KEPT = 500_000
+TYPES_KEPT = 600_000
+HASH = 0x9E3779B97F4A7C15
 
 
 def default_model() -> str:
@@ -66,7 +68,13 @@ class PieceModel:
         for piece in list(self.edges):  # beginnings of pieces, so that a search stops where no piece goes on
             for k in range(1, len(piece)):
                 self.edges.setdefault(piece[:k], ())
-        self.types: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.price = np.zeros(sp.get_piece_size(), np.int64)
+        for found in self.edges.values():
+            if found:
+                self.price[found[0]] = found[1]
+        self.tables = self._tables()
+        self.searched: dict[str, list[tuple[int, list[int]]]] = {}
+        self.forget()
 
     def search(self, unit: str, n_best: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
         """The unit's n_best segmentations as (cost, ids), best first."""
@@ -110,31 +118,161 @@ class PieceModel:
                 seq += 1
         return out
 
-    def unit(self, u: str) -> tuple[bytes, bytes, bytes]:
-        """best ids, loss of the second, then the other lists; kept for the next time."""
-        found = self.search(u)
-        best = found[0][0]
-        rest = array("i")
-        for cost, ids in found[1:]:
-            rest.extend((min(cost - best, NONE - 1), len(ids), *ids))
-        made = (array("i", found[0][1]).tobytes(), array("i", [rest[0] if rest else NONE]).tobytes(), rest.tobytes())
-        if len(u) <= 64:
-            if len(self.types) >= TYPES_KEPT:
-                longest = sorted(map(len, self.types))[TYPES_KEPT // 2]
-                self.types = {k: v for k, v in self.types.items() if len(k) < longest}
-            self.types[u] = made
-        return made
-
-    def encode(self, text: str) -> tuple[np.ndarray, int, list[tuple[int, list[tuple[int, list[int]]]]]]:
-        """Best ids, number of units, alternatives as (loss, [(unit, its ids)])."""
-        if not text:
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length the sorted hashes of pieces and beginnings of pieces, with their ids (-1: a beginning only)."""
+        by: dict[int, list[tuple[int, int]]] = {}
+        for piece, found in self.edges.items():
+            h = 0
+            for c in piece:
+                h = (h * HASH + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            by.setdefault(len(piece), []).append((h, found[0] if found else -1))
+        out = []
+        for k in range(1, self.longest + 1):
+            rows = sorted(by[k])
+            out.append((np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)))
+        return out
+
+    def learn(self, units: list[str]) -> None:
+        """Best pieces and the loss of the second best of many new units at once: the Viterbi passes of all of them in step.
+
+        An edge off the best path belongs to the second best where the least costs up to its begin and from its end add to the least.
+        """
+        if len(self.types) + len(units) > TYPES_KEPT:
+            self.forget()
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(units)), lens)
+        first = np.cumsum(lens) - lens
+        local = np.arange(len(codes)) - first[owner]
+        left = lens[owner] - local
+        alive, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        begins, sizes, ids = [], [], []
+        for k, (keys, values) in enumerate(self.tables, 1):
+            alive = alive[left[alive] >= k]
+            h = hashes[alive] * np.uint64(HASH) + codes[alive + (k - 1)] + np.uint64(1)
+            hashes[alive] = h
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            ok = keys[at] == h
+            alive, at = alive[ok], at[ok]
+            real = values[at] >= 0
+            begins.append(alive[real])
+            sizes.append(np.full(int(real.sum()), k))
+            ids.append(values[at[real]])
+        single = np.zeros(len(codes), bool)
+        single[begins[0]] = True
+        odd = np.unique(owner[~single])  # units with characters that are no piece
+        begin, size, piece = np.concatenate(begins), np.concatenate(sizes), np.concatenate(ids)
+        u = owner[begin]
+        source, price = begin + u, self.price[piece]
+        target, to = source + size, local[begin] + size
+        order = np.lexsort((source, target, to))
+        source, target, piece, price, to, u = (x[order] for x in (source, target, piece, price, to, u))
+        n_nodes, far = len(codes) + len(units), np.int64(1) << np.int64(50)
+        alpha, best = np.full(n_nodes, far), np.full(n_nodes, -1)
+        zero, end = first + np.arange(len(units)), first + lens + np.arange(len(units))
+        alpha[zero] = 0
+        cuts = np.searchsorted(to, np.arange(1, int(lens.max(initial=0)) + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            t = target[lo:hi]
+            heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            rank = np.arange(hi - lo) - np.repeat(heads, np.diff(np.append(heads, hi - lo)))
+            least = np.minimum.reduceat((alpha[source[lo:hi]] + price[lo:hi]) * 32 + rank, heads)
+            alpha[t[heads]] = least >> 5
+            best[t[heads]] = lo + heads + (least & 31)
+        beta = np.full(n_nodes, far)
+        beta[end] = 0
+        start_at = local[np.minimum(source - u, len(codes) - 1)]
+        back = np.lexsort((source, start_at))
+        s_sorted, at_sorted = source[back], start_at[back]
+        cuts = np.searchsorted(at_sorted, np.arange(int(lens.max(initial=0)) + 1))
+        for lo, hi in zip(cuts[:-1][::-1], cuts[1:][::-1], strict=True):
+            if lo == hi:
+                continue
+            e = back[lo:hi]
+            s = s_sorted[lo:hi]
+            heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            beta[s[heads]] = np.minimum.reduceat(price[e] + beta[target[e]], heads)
+        on_best = np.zeros(len(source), bool)
+        node, who = end.copy(), np.arange(len(units))
+        path_unit, path_piece = [], []
+        while len(who):
+            e = best[node]
+            who, node, e = who[e >= 0], node[e >= 0], e[e >= 0]
+            on_best[e] = True
+            path_unit.append(who)
+            path_piece.append(piece[e])
+            node = source[e]
+            more = node != zero[who]
+            who, node = who[more], node[more]
+        second = np.full(len(units), far)
+        off = ~on_best
+        np.minimum.at(second, u[off], (alpha[source] + price + beta[target])[off])
+        loss = np.minimum(second - alpha[end], NONE)
+        loss[second >= far] = NONE
+        flat_u, flat_p = np.concatenate([*path_unit, np.zeros(0, np.int64)]), np.concatenate([*path_piece, np.zeros(0, np.int64)])
+        depth = np.repeat(np.arange(len(path_unit)), [len(x) for x in path_unit])
+        order = np.lexsort((-depth, flat_u))
+        counts = np.bincount(flat_u.astype(np.int64), minlength=len(units))
+        lists = flat_p[order].astype(np.int32)
+        if len(odd):
+            parts = np.split(lists, np.cumsum(counts)[:-1])
+            for i in map(int, odd):
+                found = self.search(units[i], 2)
+                parts[i] = np.array(found[0][1], np.int32)
+                counts[i] = len(parts[i])
+                loss[i] = min(found[1][0] - found[0][0], NONE - 1) if len(found) > 1 else NONE
+            lists = np.concatenate(parts)
+        base, used = len(self.types), self.used
+        if base + len(units) > len(self.loss):
+            room = 2 * (base + len(units)) - len(self.loss)
+            self.loss, self.count, self.offset = (np.concatenate([x, np.zeros(room, x.dtype)]) for x in (self.loss, self.count, self.offset))
+        if used + len(lists) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(2 * (used + len(lists)) - len(self.flat), np.int32)])
+        self.flat[used : used + len(lists)] = lists
+        span = slice(base, base + len(units))
+        self.loss[span], self.count[span], self.offset[span] = loss, counts, used + np.cumsum(counts) - counts
+        self.used = used + len(lists)
+        self.types.update(zip(units, range(base, base + len(units)), strict=True))
+
+    def forget(self) -> None:
+        """An empty table of units."""
+        self.types: dict[str, int] = {}
+        self.loss, self.count, self.offset, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
+
+    def lists(self, unit: str) -> list[tuple[int, list[int]]]:
+        """The unit's segmentations as (loss against the best, ids), best first."""
+        if (found := self.searched.get(unit)) is None:
+            paths = self.search(unit)
+            found = [(cost - paths[0][0], list(ids)) for cost, ids in paths]
+            if len(self.searched) >= TYPES_KEPT // 10:
+                self.searched.clear()
+            if len(unit) <= 64:
+                self.searched[unit] = found
+        return found
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, int, list]]:
+        """For each text its best ids, number of units, alternatives as (loss, [(unit, its ids)])."""
+        split = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = {x for units in split for x in units}.difference(self.types)
+        if len(self.types) + len(new) > TYPES_KEPT:
+            self.forget()
+            new = {x for units in split for x in units}
+        if new:
+            self.learn(sorted(new))
+        return [self._document(units) for units in split]
+
+    def encode(self, text: str) -> tuple[np.ndarray, int, list]:
+        return self.encode_batch([text])[0]
+
+    def _document(self, units: list[str]) -> tuple[np.ndarray, int, list]:
+        if not units:
             return np.zeros(0, np.int32), 0, []
-        units = UNIT.findall(MARK + text.replace(" ", MARK))
-        get, make = self.types.get, self.unit
-        parts = [get(u) or make(u) for u in units]
-        ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-        loss = np.frombuffer(b"".join([p[1] for p in parts]), np.int32)
-        k = self.n_best - 1
+        at = np.fromiter(map(self.types.__getitem__, units), np.int64, len(units))
+        count = self.count[at]
+        ids = self.flat[np.arange(int(count.sum())) + np.repeat(self.offset[at] - (np.cumsum(count) - count), count)]
+        loss, k = self.loss[at], self.n_best - 1
         if not k:
             return ids, len(units), []
         if len(loss) > k:
@@ -143,15 +281,7 @@ class PieceModel:
             order = near[np.lexsort((near, loss[near]))][:k]
         else:
             order = np.lexsort((np.arange(len(loss)), loss))
-        choices = []
-        for u in map(int, order):
-            if loss[u] == NONE:
-                continue
-            rest, lists, at = np.frombuffer(parts[u][2], np.int32).tolist(), [(0, [])], 0
-            while at < len(rest):
-                lists.append((rest[at], rest[at + 2 : at + 2 + rest[at + 1]]))
-                at += 2 + rest[at + 1]
-            choices.append((u, lists))
+        choices = [(x, self.lists(units[x])) for x in map(int, order) if loss[x] < NONE]
         return ids, len(units), merge(choices, k)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
@@ -185,6 +315,19 @@ def merge(choices: list[tuple[int, list[tuple[int, list[int]]]]], k: int) -> lis
     return out[1:]
 
 
+def groups(texts: list[str], chars: int = 3_000_000) -> Iterator[list[str]]:
+    """Runs of whole texts of about `chars` characters."""
+    some, size = [], 0
+    for t in texts:
+        if some and size + len(t) > chars:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 _LOADED: dict[tuple[int, int], PieceModel] = {}
 
 
@@ -213,12 +356,13 @@ def encoder(model_file: str | None = None, n_best: int = 3):
     def encode(texts: pa.Array) -> pa.Array:
         model = load(raw, n_best)
         ids, units, others, same = [], [], [], []
-        for text in texts.to_pylist():
-            found, n, alternatives = model.encode(text or "")
-            ids.append(found)
-            units.append(n)
-            others.append([{"loss": loss, "changes": [{"unit": u, "ids": x} for u, x in changes]} for loss, changes in alternatives])
-            same.append(model.decode(found) == (text or "").replace(MARK, " "))
+        whole = [t or "" for t in texts.to_pylist()]
+        for some in groups(whole):
+            for text, (found, n, alternatives) in zip(some, model.encode_batch(some), strict=True):
+                ids.append(found)
+                units.append(n)
+                others.append([{"loss": loss, "changes": [{"unit": u, "ids": x} for u, x in changes]} for loss, changes in alternatives])
+                same.append(model.decode(found) == text.replace(MARK, " "))
         sizes = np.array([0, *map(len, ids)], np.int64)
         flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), flat)
