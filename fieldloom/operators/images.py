@@ -1,7 +1,7 @@
-"""Adapters for images and OCR engines.
+"""Image stages and adapters for OCR engines.
 
-Pixels live only inside Python workers: `binaryFile` rows go through mapInPandas, one engine per worker. The native libraries (PIL, OCR
-engines) may be absent; then a file's row says so in `status` and `reason`, and the stage goes on.
+Pixels live only inside Python workers: `binaryFile` rows go through mapInPandas, one engine per worker. Native libraries (PIL for formats
+other than PPM and PGM, OCR engines) may be absent; then a file's row says so in `status` and `reason`, and the stage goes on.
 """
 
 from __future__ import annotations
@@ -12,7 +12,17 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import pixels
+
 LOADED = "filename string, status string, reason string, height int, width int, channels int"
+RESIZED = (
+    "filename string, status string, reason string, original_width int, original_height int, original_long_side int, final_width int, final_height int, "
+    "final_long_side int, downscaled boolean, very_low_res boolean"
+)
+CONTRASTED = (
+    "filename string, status string, reason string, method string, low_percentile double, high_percentile double, stretch_low double, stretch_high double, "
+    "original_brightness_mean double, final_brightness_mean double, final_l_clip_low_ratio double, final_l_clip_high_ratio double"
+)
 BLOCKS = "array<struct<text: string, bbox: array<array<double>>, confidence: double>>"
 READ = f"filename string, status string, reason string, raw struct<full: string, blocks: {BLOCKS}>"
 
@@ -64,22 +74,55 @@ register_engine("easyocr", easyocr)
 def load_images(files: DataFrame) -> DataFrame:
     """files: binaryFile rows. status, reason and size of each; a file that can't be decoded fails alone."""
 
+    def one(raw: bytes) -> dict:
+        height, width, channels = pixels.decode(raw).shape
+        return {"height": height, "width": width, "channels": channels}
+
+    return _each(files, one, LOADED)
+
+
+def _each(files: DataFrame, one: Callable[[bytes], dict], schema: str) -> DataFrame:
+    """one(content) for each file as a row with status ok; a file that fails has its reason instead."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    whole = [c.strip().split(" ")[0] for c in schema.split(",") if c.strip().endswith(" int")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
+                row = {"filename": path.rsplit("/", 1)[-1], "status": "ok", "reason": ""}
                 try:
-                    from PIL import Image
+                    row |= one(content)
+                except Exception as e:  # the file's own row says why
+                    row |= {"status": "failed", "reason": f"{type(e).__name__}: {e}"}
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=names, dtype=object).astype({c: "Int32" for c in whole})
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
 
-                    with Image.open(io.BytesIO(content)) as image:
-                        rows.append((name, "ok", "", image.height, image.width, len(image.getbands())))
-                except Exception as e:  # a row of its own says why
-                    rows.append((name, "failed", f"{type(e).__name__}: {e}", None, None, None))
-            out = pd.DataFrame(rows, columns=["filename", "status", "reason", "height", "width", "channels"])
-            yield out.astype({c: "Int32" for c in ("height", "width", "channels")})
+def resize_images(files: DataFrame, cap: int = 1800, low: int = 300) -> DataFrame:
+    """The resize stage's log: sizes before and after, never enlarged."""
 
-    return files.select("path", "content").mapInPandas(run, LOADED)
+    def one(raw: bytes) -> dict:
+        height, width, _ = pixels.decode(raw).shape
+        scale = min(1.0, cap / max(width, height))
+        w, h = max(1, round(width * scale)), max(1, round(height * scale))
+        before = {"original_width": width, "original_height": height, "original_long_side": max(width, height)}
+        return before | {"final_width": w, "final_height": h, "final_long_side": max(w, h), "downscaled": max(width, height) > cap, "very_low_res": max(width, height) < low}
+
+    return _each(files, one, RESIZED)
+
+
+def normalize_contrast(files: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFrame:
+    """The contrast stage's log: percentiles, brightness and clipping after stretching lightness."""
+
+    def one(raw: bytes) -> dict:
+        before = pixels.decode(raw)
+        after, a, b = pixels.stretch(before, low, high)
+        return {"method": "lightness stretch", "low_percentile": low, "high_percentile": high, "stretch_low": a, "stretch_high": b} | pixels.clipping(before, after)
+
+    return _each(files, one, CONTRASTED)
 
 
 def recognize(files: DataFrame, engine: str, device: str = "cpu", transform: Callable[[bytes], bytes] | None = None) -> DataFrame:
@@ -101,7 +144,7 @@ def recognize(files: DataFrame, engine: str, device: str = "cpu", transform: Cal
                 except Exception as e:
                     why = f"{type(e).__name__}: {e}"
                     rows.append((name, "failed", why, None))
-            yield pd.DataFrame(rows, columns=["filename", "status", "reason", "raw"])
+            yield pd.DataFrame(rows, columns=["filename", "status", "reason", "raw"], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, READ)
 
@@ -113,12 +156,14 @@ def register_preprocessing(name: str, step: Callable[[bytes], bytes]) -> None:
     PREPROCESSING[name] = step
 
 
-def grayscale(raw: bytes) -> bytes:
-    from PIL import Image
+def _step(change: Callable) -> Callable[[bytes], bytes]:
+    return lambda raw: pixels.encode(change(pixels.decode(raw)))
+
 
-    out = io.BytesIO()
-    Image.open(io.BytesIO(raw)).convert("L").convert("RGB").save(out, "PNG")
-    return out.getvalue()
+def grayscale(rgb):
+    return pixels.with_lightness(rgb.mean(2, keepdims=True).repeat(3, 2), pixels.lightness(rgb))
 
 
-register_preprocessing("grayscale", grayscale)
+register_preprocessing("grayscale", _step(grayscale))
+register_preprocessing("contrast", _step(lambda rgb: pixels.stretch(rgb)[0]))
+register_preprocessing("equalize", _step(pixels.adaptive_equalize))

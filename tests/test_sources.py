@@ -66,3 +66,44 @@ def test_files_and_images(spark, tmp_path):
 def test_audit(spark):
     df = spark.createDataFrame([("a", "", "1990", "x"), ("a", "n", "1990-01-01", "")], "filename string, name string, birth_date string, address string")
     assert tuple(ingest.audit(df).first()) == (2, 1, 1, 0, 1, 1)
+
+
+def test_pixel_stages(spark, tmp_path):
+    import numpy as np
+
+    from fieldloom.operators import pixels, stagelog
+
+    rng = np.random.default_rng(1)
+    image = (rng.random((40, 60, 3)) * 120 + 60).astype(np.uint8)
+    (tmp_path / "a.ppm").write_bytes(pixels.encode(image))
+    (tmp_path / "b.pgm").write_bytes(b"P5 3 2 255\n" + bytes(range(6)))
+    (tmp_path / "c.jpg").write_bytes(b"broken")
+    assert (pixels.decode(pixels.encode(image)) == image).all()
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    load, size, contrast = images.load_images(files), images.resize_images(files, cap=30), images.normalize_contrast(files)
+    whole = {r["filename"]: r for r in stagelog.consolidate(load, size, contrast).collect()}
+    assert {k: r["pipeline_status"] for k, r in whole.items()} == {"a.ppm": "ok", "b.pgm": "ok", "c.jpg": "failed"}
+    assert (whole["a.ppm"]["final_width"], whole["a.ppm"]["final_height"], whole["a.ppm"]["downscaled"]) == (30, 20, True)
+    assert whole["a.ppm"]["final_brightness_mean"] != whole["a.ppm"]["original_brightness_mean"] and stagelog.review(stagelog.consolidate(load, size, contrast)).first()["ok"] == 2
+    for step in ("grayscale", "contrast", "equalize"):
+        assert pixels.decode(images.PREPROCESSING[step](pixels.encode(image))).shape == image.shape
+
+
+def test_geometry_of_pixels():
+    import numpy as np
+
+    from fieldloom.operators import pixels
+
+    quad = np.array([[50, 10], [10, 12], [12, 52], [52, 50]])
+    assert pixels.corners(quad).tolist() == [[10, 12], [50, 10], [52, 50], [12, 52]]
+    assert np.allclose(pixels.crossing((3, 0.0), (5, np.pi / 2)), [3, 5]) and pixels.crossing((3, 0.1), (5, 0.15)) is None
+    h = pixels.homography(np.array([[0, 0], [1, 0], [1, 1], [0, 1]]), quad)
+    assert np.allclose((h @ [1, 1, 1])[:2] / (h @ [1, 1, 1])[2], [12, 52])
+    image = np.zeros((64, 64, 3), np.uint8)
+    image[20:44, 20:44] = 200
+    flat = pixels.unwarp(image, np.array([[20, 20], [43, 20], [43, 43], [20, 43]]))
+    assert flat.shape[0] == 23 and flat.min() == 200
+    assert pixels.unwarp(image, np.array([[0, 0], [5, 0], [5, 5], [0, 5]])) is image
+    assert pixels.largest_center([(0, 0, 2, 2), (10, 10, 4, 4)]) == (12, 12) and pixels.largest_center([]) is None
+    light = pixels.lightness(np.array([[[0, 0, 0], [255, 255, 255]]], np.uint8))
+    assert np.allclose(light, [[0, 255]])
