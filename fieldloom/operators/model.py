@@ -28,14 +28,14 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(counts.crossJoin(totals)), label).withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
 
 
-def fit(rows: DataFrame, classifier: str = "logreg", features: tuple[str, ...] = FEATURES) -> PipelineModel:
+def fit(rows: DataFrame, classifier: str = "logreg", features: tuple[str, ...] = FEATURES, max_iter: int = 2000) -> PipelineModel:
     """A pipeline from feature columns to probabilities. logreg: multinomial, unscaled, L2 of strength 1 over the weighted sum; forest and
     hgb (one-vs-rest boosting) stand in for histogram boosting."""
     weighted = balanced_weights(rows)
     stages = [StringIndexer(inputCol="label", outputCol="__label", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(features), outputCol="__x")]
     if classifier == "logreg":
         n = max(1, weighted.count())
-        learner = LogisticRegression(featuresCol="__x", labelCol="__label", weightCol="weight", family="multinomial", standardization=False, regParam=1.0 / n, maxIter=2000, tol=1e-6, probabilityCol="__p", predictionCol="__y", rawPredictionCol="__raw")
+        learner = LogisticRegression(featuresCol="__x", labelCol="__label", weightCol="weight", family="multinomial", standardization=False, regParam=1.0 / n, maxIter=max_iter, tol=1e-6, probabilityCol="__p", predictionCol="__y", rawPredictionCol="__raw")
     elif classifier == "forest":
         learner = RandomForestClassifier(featuresCol="__x", labelCol="__label", weightCol="weight", numTrees=100, seed=42, probabilityCol="__p", predictionCol="__y", rawPredictionCol="__raw")
     elif classifier == "hgb":

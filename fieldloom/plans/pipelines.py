@@ -33,10 +33,10 @@ def ngrams_of(reports: DataFrame, sizes: DataFrame, as_of_year: int | None = Non
     return corpus.ngram_model(build_table(reports, sizes, as_of_year=as_of_year))
 
 
-def fit(reports: DataFrame, sizes: DataFrame, classifier: str = "logreg", **statistics) -> PipelineModel:
+def fit(reports: DataFrame, sizes: DataFrame, classifier: str = "logreg", max_iter: int = 2000, **statistics) -> PipelineModel:
     table = build_table(reports, sizes, **statistics).cache()
     try:
-        return model.fit(table, classifier)
+        return model.fit(table, classifier, max_iter=max_iter)
     finally:
         table.unpersist()
 

@@ -168,7 +168,7 @@ def test_model_roundtrip(spark, tmp_path):
     rng = random.Random(5)
     rows = [(float(k == "name") + rng.random() / 5, float(k == "other") + rng.random() / 5, k) for k in ("name", "other", "address") for _ in range(30)]
     df = spark.createDataFrame(rows, "a double, b double, label string")
-    fitted = model.fit(df, features=("a", "b"))
+    fitted = model.fit(df, features=("a", "b"), max_iter=100)
     out = model.score(fitted, df.drop("label"))
     assert out.filter("p_birth_date <> 0").count() == 0
     assert model.score(fitted, df).filter("predicted_label = label").count() >= 85
