@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 PRIOR, BYTE, MARK = 2.7, 12_000_000, "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 NONE = (1 << 31) - 1
-TYPES_KEPT = 600_000
+TYPES_KEPT = 400_000
+AT_ONCE = 6_000
 HASH = 0x9E3779B97F4A7C15
 
 
@@ -137,8 +138,6 @@ class PieceModel:
 
         An edge off the best path belongs to the second best where the least costs up to its begin and from its end add to the least.
         """
-        if len(self.types) + len(units) > TYPES_KEPT:
-            self.forget()
         lens = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         owner = np.repeat(np.arange(len(units)), lens)
@@ -259,8 +258,9 @@ class PieceModel:
         if len(self.types) + len(new) > TYPES_KEPT:
             self.forget()
             new = {x for units in split for x in units}
-        if new:
-            self.learn(sorted(new))
+        new = sorted(new)
+        for at in range(0, len(new), AT_ONCE):  # a slice's edges take some 30 MB
+            self.learn(new[at : at + AT_ONCE])
         return [self._document(units) for units in split]
 
     def encode(self, text: str) -> tuple[np.ndarray, int, list]:
@@ -315,7 +315,7 @@ def merge(choices: list[tuple[int, list[tuple[int, list[int]]]]], k: int) -> lis
     return out[1:]
 
 
-def groups(texts: list[str], chars: int = 3_000_000) -> Iterator[list[str]]:
+def groups(texts: list[str], chars: int = 600_000) -> Iterator[list[str]]:
     """Runs of whole texts of about `chars` characters."""
     some, size = [], 0
     for t in texts:
