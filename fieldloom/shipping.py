@@ -8,11 +8,12 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package's sources to the application once; Spark serves them to every executor."""
+    """Adds the package's sources to the application once, which Spark serves to every executor, and sets batch sizes that nobody has set."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
@@ -24,5 +25,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, n)
                         z.write(full, os.path.join("fieldloom", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(path)
+        if spark.conf.get(ROWS, "10000") == "10000":  # texts can be long: smaller Arrow batches bound a worker's memory
+            spark.conf.set(ROWS, "2000")
         _SHIPPED.add(app)
     return spark
