@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 PRIOR, BYTE, MARK = 2.7, 12_000_000, "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 NONE = (1 << 31) - 1
-TYPES_KEPT = 400_000
+TYPES_KEPT = 200_000
 AT_ONCE = 6_000
 HASH = 0x9E3779B97F4A7C15
 

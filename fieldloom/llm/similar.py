@@ -123,12 +123,18 @@ def similar_links(texts: DataFrame, radius: int = 36, similarity: float = 0.8) -
     bits = F.aggregate(F.zip_with("left.prints", "right.prints", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(one, "a").join(two, "b").filter(bits <= radius)
 
-    @F.arrow_udf(T.DoubleType())
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = zip(a.to_pylist(), b.to_pylist(), strict=True)
-        return pa.array([likeness(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in rows], pa.float64())
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """a, b, sketches -> the links that hold, as a spanning forest of the task's own. One pass, so a task needs one Python worker."""
 
-    return near.filter(alike("left.sketch", "right.sketch") >= similarity).select("a", "b").mapInArrow(forest, "a long, b long")
+        def held() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                keep = [likeness(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in pairs]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return forest(held())
+
+    return near.select("a", "b", F.col("left.sketch").alias("x"), F.col("right.sketch").alias("y")).mapInArrow(verified, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
