@@ -1,14 +1,20 @@
-"""Groups of similar texts by multi-index hashing of longer SimHash fingerprints, for near-dedup stages.
+"""Groups of similar texts by an exact prefix filter over their shingles, for near-dedup stages.
 
-Two texts are similar if at least `similarity` of the five-word shingles of either stand in both (Jaccard). Such texts differ in few words, so
-their word fingerprints (three of 64 bits with different seeds) differ in few bits. Every 32-bit segment is a table; each text looks up the
-Hamming ball of radius 1 of each of its six segments. Equal texts are one row of all this.
+Two texts are similar if at least `similarity` of the five-word shingles of either stand in both (Jaccard). Every such pair is found, and no other.
 
-A bucket's rows are paired as they stream by in sorted order, never gathered: buckets of up to SMALL rows pair all, larger ones pair each row
-with its SMALL predecessors and with the bucket's first LEADERS rows. So pairs grow in proportion to rows even where a third
-of the corpus are near copies; as members meet in many buckets with different orders, their group stays connected. Pairs are then held
-against complete distances and against the similarity of their shingle sketches: the SKETCH smallest hashes of each, which is the whole
-set, so exact, for texts of up to SKETCH shingles, and has a standard error of 0.025 at 0.8 beyond.
+Index. All shingles have one order: by how often they stand in the corpus (counted by hash in SLOTS counters), then by hash. Of a
+text with n shingles the first n - ceil(similarity * n) + 1 are its prefix. The first common shingle of a similar pair is in both
+prefixes, so the pair meets in that shingle's bucket; a pair whose places there leave too few shingles for the overlap it needs can't
+be similar, or has met before. Any order would do for this; rare shingles first keep buckets small, so that texts made from one
+form meet only if they share what is rare in them.
+
+Buckets. A first pass joins each row with its SMALL predecessors and first LEADERS rows only, verifies these pairs and follows
+them to components. A second one takes all pairs of a bucket that are not in one component yet: large groups of copies are joined by the first
+pass, and no pair is left out. Buckets over BLOCK rows are dealt out as pairs of blocks of about that size.
+
+Two parity bitmaps differ in no more bits than their sets in shingles, which rules out most pairs that aren't similar, and none that is.
+The rest is verified on the complete sets of shingles. These are hashes of 32 bits; two texts of 1,000 words have one shingle in common by
+chance with a probability of 0.0002. Equal texts are one row of all this.
 
 Nulls: null and empty texts are copies of each other. Texts under five words are one shingle. One row of each group stays: the one with the
 smallest doc_id, a null one only if there is no other; of repeated rows one stays. Columns are kept as they are, whatever their names.
@@ -16,6 +22,8 @@ smallest doc_id, a null one only if there is no other; of repeated rows one stay
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,54 +36,35 @@ from pyspark.sql import types as T
 from .common import stash
 from .simhash import components, forest
 
-SEEDS = (42, 43, 44)
-SMALL, LEADERS, SKETCH = 16, 8, 256
-FEATURES = T.StructType([T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-
-
-def word_prints(words: list[bytes]) -> list[int]:
-    """SimHash of the words, repeats included, for each seed; a word in half of the text doesn't outvote the rest, as counts weigh by their roots."""
-    if not words:
-        return [0] * len(SEEDS)
-    seen: dict[bytes, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    weight = np.sqrt(np.fromiter(seen.values(), float, len(seen)))
-    out = []
-    for seed in SEEDS:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in seen), np.uint64, len(seen))
-        votes = np.zeros(64)
-        for at in range(0, len(h), 65536):
-            bits = np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            votes += weight[at : at + 65536] @ bits
-        out.append(int.from_bytes(np.packbits(2 * votes > weight.sum()).tobytes(), "big"))
-    return out
+SMALL, LEADERS, BLOCK = 1, 1, 4096
+SLOTS, CHUNK, PARITY = 1 << 22, 1 << 16, 1024
+FEATURES = T.StructType([T.StructField("shingles", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType()))])
 
 
-def sketch(words: list[bytes], shingle: int = 5) -> np.ndarray:
-    """The SKETCH smallest distinct hashes of the shingles, ascending."""
+def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of the shingles, ascending."""
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
     h = np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in parts), np.uint64, max(1, len(words) - shingle + 1))
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of the sets that two sketches stand for."""
-    if len(a) < SKETCH and len(b) < SKETCH:
-        common = len(np.intersect1d(a, b, assume_unique=True))
-        return common / (len(a) + len(b) - common)
-    union = np.union1d(a, b)[: max(1, min(SKETCH, max(len(a), len(b))))]
-    return len(np.intersect1d(np.intersect1d(union, a, assume_unique=True), b, assume_unique=True)) / len(union)
+    """Jaccard similarity of two sets of shingles."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each remainder modulo PARITY, set if an odd number of the shingles has it; as signed longs."""
+    odd = np.bincount(shingles & np.uint32(PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 @F.arrow_udf(FEATURES)
 def features_of(texts: pa.Array) -> pa.Array:
-    prints, sketches = [], []
-    for text in texts.to_pylist():
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        prints.append(np.array(word_prints(words), np.uint64).view(np.int64).tolist())
-        sketches.append(sketch(words).tobytes())
-    return pa.StructArray.from_arrays([pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["prints", "sketch"])
+    sets = [shingle_set((text or "").encode("utf-8", "surrogatepass").lower().split()) for text in texts.to_pylist()]
+    columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s).tolist() for s in sets], pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(columns, names=["shingles", "n", "parity"])
 
 
 def text_id(text: str | Column) -> Column:
@@ -102,45 +91,197 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     if other != i:
                         a.append(min(i, other))
                         b.append(max(i, other))
-                recent = [*recent[-SMALL + 1 :], i]
+                recent = [*recent, i][-SMALL:]
                 if len(leaders) < LEADERS:
                     leaders.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def similar_links(texts: DataFrame, radius: int = 36, similarity: float = 0.8) -> DataFrame:
-    """texts: distinct id, prints, sketch. Pairs (a, b) of similar texts, thinned to forests that connect the same."""
-    segments = F.flatten(F.transform("prints", lambda p: F.array(p.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(p, 32))))
-    table = texts.select("id", F.posexplode(segments).alias("seg", "v"))
-    ball = F.concat(F.array(F.lit(0).cast("long")), F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), lambda m: F.col("v").bitwiseAND(m) == 0))
-    probes = table.select("id", "seg", "v", F.explode(ball).alias("m"))
-    key = F.xxhash64(F.col("seg"), F.col("v").bitwiseXOR(F.col("m")))
-    rows = probes.select(key.alias("key"), (F.col("m") != 0).alias("probe"), "id")
-    spread = rows.repartition("key").sortWithinPartitions("key", "probe", F.xxhash64("id", "key"))
-    pairs = spread.mapInArrow(_bucket_pairs, "a long, b long").distinct()
-    one = texts.select(F.col("id").alias("a"), F.struct("prints", "sketch").alias("left"))
-    two = texts.select(F.col("id").alias("b"), F.struct("prints", "sketch").alias("right"))
-    bits = F.aggregate(F.zip_with("left.prints", "right.prints", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(one, "a").join(two, "b").filter(bits <= radius)
+def _open_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, id, n, place, c) sorted by key -> pairs (a, b) of a key that may be similar, c being different.
+
+    A key's sides are 0 and 1 where two blocks of a larger bucket meet, of which only pairs across count; else 0.
+    """
+    ratio = similarity / (1 + similarity)
+
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """By c and by the most shingles that can be common from here on."""
+        most = np.minimum(x[3] - x[4], y[3] - y[4])
+        return (x[5] != y[5]) & (most >= np.ceil(ratio * (x[3] + y[3]) - 1e-9))
+
+    def pairs_of(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = rows.shape[1]
+        if (blocks := rows[1]).any():
+            left, right = rows[:, blocks == 0], rows[:, blocks == 1]
+            for i in range(left.shape[1]):
+                hit = right[2][fits(left[:, i : i + 1], right)]
+                yield np.full(len(hit), left[2, i]), hit
+        else:
+            for i in range(n - 1):
+                hit = rows[2, i + 1 :][fits(rows[:, i : i + 1], rows[:, i + 1 :])]
+                yield np.full(len(hit), rows[2, i]), hit
+
+    def made(whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """whole: all rows of some keys."""
+        if not whole.shape[1]:
+            return
+        edge = np.flatnonzero(np.concatenate([[True], whole[0, 1:] != whole[0, :-1], [True]]))
+        size = np.diff(edge)
+        two = edge[:-1][size == 2]
+        x, y = whole[:, two], whole[:, two + 1]
+        ok = fits(x, y) & ((x[1] != y[1]) | (x[1] == 0))
+        a, b, held = [x[2][ok]], [y[2][ok]], 0
+        for k in np.flatnonzero(size > 2):
+            for i, j in pairs_of(whole[:, edge[k] : edge[k + 1]]):
+                a.append(i)
+                b.append(j)
+                held += len(i)
+                if held > 200_000:
+                    yield packed(a, b)
+                    a, b, held = [], [], 0
+        yield packed(a, b)
+
+    def packed(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rest = np.zeros((6, 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], 1)
+        cut = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
+        yield from made(rows[:, :cut])
+        rest = rows[:, cut:]
+    yield from made(rest)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How often the shingles of each of SLOTS slots stand in texts: id, shingles. A task sends one row a chunk of slots, however many shingles it reads."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                n[np.frombuffer(x, np.uint32) >> np.uint32(10)] += 1
+        used = [k for k in range(SLOTS // CHUNK) if n[k * CHUNK : (k + 1) * CHUNK].any()]
+        for k in used:
+            part = np.minimum(n[k * CHUNK : (k + 1) * CHUNK], 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["chunk", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = np.minimum(total.get(k, np.zeros(CHUNK, np.uint32)) + np.frombuffer(x, np.uint16), 65535)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.astype(np.uint16).tobytes() for x in total.values()], pa.binary())], names=["chunk", "n"])
+
+    kind = "chunk long, n binary"
+    out = np.zeros(SLOTS, np.uint16)
+    for k, x in texts.select("shingles").mapInArrow(counted, kind).repartition("chunk").mapInArrow(added, kind).collect():
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(x, np.uint16)
+    return out
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """key, id, n, place for each shingle of a text's prefix: n is the number of its shingles, place counts from 0 in their order."""
+    often = texts.sparkSession.sparkContext.broadcast(frequencies(texts))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for x in batch.column(1).to_pylist():
+                h = np.frombuffer(x, np.uint32)
+                first = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+                keys.append(h[np.argsort(often.value[h >> np.uint32(10)], kind="stable")[:first]].astype(np.int64))
+                sizes.append((len(h), first))
+            if not keys:
+                continue
+            n, first = np.array(sizes).T
+            columns = [np.concatenate(keys), np.repeat(batch.column(0).to_numpy(), first), np.repeat(n, first).astype(np.int64), np.concatenate([np.arange(f) for f in first])]
+            whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "id", "n", "place"])
+            for at in range(0, len(whole), 10_000):
+                yield whole.slice(at, 10_000)
+
+    return texts.select("id", "shingles").mapInArrow(made, "key long, id long, n long, place long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> those whose key has further rows."""
+    rest = None
+    for batch in batches:
+        batch = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+        if not batch:
+            continue
+        batch = batch[0]
+        keys = batch.column(0).to_numpy()
+        cut = np.searchsorted(keys, keys[-1])
+        equal = keys[1:] == keys[:-1]
+        several = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+        yield batch.slice(0, cut).filter(pa.array(several[:cut]))
+        rest = batch.slice(cut)
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def release(df: DataFrame) -> None:
+    """Shuffle files of what has been written go when the driver's objects go; this doesn't wait until these happen to."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def held_links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar by the complete sets, thinned to forests that connect the same."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """a, b, sketches -> the links that hold, as a spanning forest of the task's own. One pass, so a task needs one Python worker."""
+        """a, b, sets -> the links that hold, as a spanning forest of the task's own. One pass, so a task needs one Python worker."""
 
         def held() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-                keep = [likeness(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= similarity for x, y in pairs]
+                pairs = ((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+                keep = [likeness(x, y) >= similarity for x, y in pairs]
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
         return forest(held())
 
-    return near.select("a", "b", F.col("left.sketch").alias("x"), F.col("right.sketch").alias("y")).mapInArrow(verified, "a long, b long")
+    small = texts.select("id", F.struct("n", "parity").alias("s"))
+    both = pairs.join(small.withColumnsRenamed({"id": "a", "s": "p"}), "a").join(small.withColumnsRenamed({"id": "b", "s": "q"}), "b")
+    bits = F.aggregate(F.zip_with("p.parity", "q.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = (F.least("p.n", "q.n") >= similarity * F.greatest("p.n", "q.n") - 1e-9) & (bits <= (F.col("p.n") + F.col("q.n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    pairs = stash(both.filter(fits).select("a", "b"), "similar-pairs")
+    release(texts)
+    one = texts.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    two = texts.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+
+def open_pairs(rows: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of prefixes' rows that share a key and may be similar, but those in one component of groups (node, component)."""
+    rows = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("size")).filter("least <> most")
+    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    rows = rows.join(mixed.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    block = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    rows = rows.select(block.alias("key"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "n", "place", "c")
+    return rows.repartition("key").sortWithinPartitions("key", "side").mapInArrow(lambda batches: _open_pairs(batches, similarity), "a long, b long").distinct()
+
+
+def similar_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """texts: distinct id, shingles, n, parity. Pairs (a, b) of similar texts, thinned to forests that connect the same."""
+    rows = prefixes(texts, similarity).repartition("key").sortWithinPartitions("key", F.xxhash64("id"))
+    rows = stash(rows.mapInArrow(_shared, rows.schema), "similar-prefixes")
+    release(texts)
+    spread = rows.select("key", F.lit(False).alias("probe"), "id").repartition("key").sortWithinPartitions("key", F.xxhash64("id"))
+    first = stash(held_links(spread.mapInArrow(_bucket_pairs, "a long, b long").distinct(), texts, similarity), "similar-first")
+    release(texts)
+    return first.unionByName(held_links(open_pairs(rows, stash(components(first), "similar-joined"), similarity), texts, similarity))
 
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(id, group) for each distinct text id; group is the smallest linked id."""
     texts = docs.select(text_id("text").alias("id"), features_of("text").alias("f")).groupBy("id").agg(F.first("f").alias("f"))
-    texts = stash(texts.select("id", "f.prints", "f.sketch"), "similar-texts")
+    texts = stash(texts.select("id", "f.*"), "similar-texts")
+    release(texts)
     found = components(similar_links(texts, similarity=similarity)).withColumnRenamed("node", "id")
     return texts.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
 

@@ -273,6 +273,30 @@ def test_bucket_pairs_grow_in_proportion():
     assert n <= pairs <= n * (similar.SMALL + similar.LEADERS)
 
 
+@pytest.mark.parametrize("block", [None, 50])
+def test_true_pairs_among_dissimilar_forms(spark, monkeypatch, block):
+    """Texts made from one form, at 0.77 of each other, with a few copies at 0.92 among them."""
+    if block:
+        monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(13)
+    form = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(3000 if block is None else 300):
+        ws = list(form)
+        for k in (20, 60, 100):
+            ws[k] = f"f{i}k{k}"
+        texts.append(ws)
+    copied = rng.sample(range(len(texts)), 30)
+    for i in copied:
+        copy = list(texts[i])
+        copy[80] = f"c{i}"
+        texts.append(copy)
+    n = len(texts) - len(copied)
+    texts = [" ".join(ws) for ws in texts]
+    assert jaccard(texts[0], texts[1]) < 0.8 < 0.91 < jaccard(texts[copied[0]], texts[n])
+    assert {r["doc_id"] for r in similar.first_of_groups(docs(spark, texts)).collect()} == set(range(n))
+
+
 # Language
 
 
