@@ -297,6 +297,28 @@ def test_true_pairs_among_dissimilar_forms(spark, monkeypatch, block):
     assert {r["doc_id"] for r in similar.first_of_groups(docs(spark, texts)).collect()} == set(range(n))
 
 
+@pytest.mark.parametrize("block", [None, 3])
+def test_added_cut_and_replaced_passages(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(40):
+        n = rng.randrange(60, 600)
+        ws = [word() for _ in range(n)]
+        part = n * rng.randrange(14, 19) // 100
+        at = rng.randrange(n - part // 2)
+        texts += [" ".join(ws), " ".join(ws + [word() for _ in range(n * rng.randrange(18, 28) // 100)])]
+        texts += [" ".join(ws[:-part]), " ".join(ws[:at] + [word() for _ in range(part // 2)] + ws[at + part // 2 :])]
+    texts += [" ".join([f"form{k}" for k in range(90)] + [f"x{i}k{k}" for k in range(15 + i % 9)]) for i in range(40)]
+    groups = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.8:
+            groups = [min(groups[i], groups[j]) if g in (groups[i], groups[j]) else g for g in groups]
+    assert {r["doc_id"] for r in similar.first_of_groups(docs(spark, texts)).collect()} == set(groups)
+
+
 # Language
 
 
