@@ -319,6 +319,20 @@ def test_added_cut_and_replaced_passages(spark, monkeypatch, block):
     assert {r["doc_id"] for r in similar.first_of_groups(docs(spark, texts)).collect()} == set(groups)
 
 
+def test_long_texts_are_verified_whole(spark):
+    """Texts of about 2,000 shingles just above and just below 0.8."""
+    rng = random.Random(15)
+    texts, above = [], []
+    for i in range(40):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        more = [f"w{rng.randrange(10**6)}" for _ in range(440 if i % 2 else 560)]
+        texts += [" ".join(ws), " ".join(ws + more)]
+        above.append(jaccard(*texts[-2:]) >= 0.8)
+        assert 0.77 < jaccard(*texts[-2:]) < 0.83 and above[-1] == bool(i % 2)
+    want = {i for i in range(len(texts)) if i % 2 == 0 or not above[i // 2]}
+    assert {r["doc_id"] for r in similar.first_of_groups(docs(spark, texts)).collect()} == want
+
+
 # Language
 
 
