@@ -35,6 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Fixed insults.
 SEED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless", "idiots", "morons", "losers", "imbecile", "bastard", "filth", "vermin")
 PREFIXES = (4, 5, 6, 7)
+#: The least share of upper-case words, among all words of a text, that is shouting.
+SHOUTED = 0.3
 PATTERNS = ("seed>=1", "seed>=2", "seed>=3", "learned>=1", "learned>=2", "learned>=3", "none", "shouting", "address")
 
 
@@ -67,8 +69,9 @@ class Lexicon:
             found.update(map(get, ts))
             seed += w in SEED
             learned += any(t in self.learned for t in ts)
-        upper = sum(map(str.isupper, text.split()[:4000:7])) if text.isupper() or "!!" in text else 0
-        flags = (seed > 0, seed > 1, seed > 2, learned > 0, learned > 1, learned > 2, not (seed or learned), upper > 3, seed > 0 and ("you" in ws or "your" in ws))
+        spoken = text.split()
+        shouting = bool(spoken) and sum(map(str.isupper, spoken)) >= SHOUTED * len(spoken)
+        flags = (seed > 0, seed > 1, seed > 2, learned > 0, learned > 1, learned > 2, not (seed or learned), shouting, seed > 0 and ("you" in ws or "your" in ws))
         return sorted(found) + [len(self.terms) + i for i, f in enumerate(flags) if f]
 
 

@@ -78,6 +78,19 @@ def test_toxicity_odd_inputs(spark):
     assert toxicity.toxicity(odd(spark).limit(0), labels.limit(0)).count() == 0
 
 
+def test_shouting_counts_all_words():
+    lexicon = toxicity.Lexicon([], [])
+    shouts = lambda text: len(lexicon.terms) + toxicity.PATTERNS.index("shouting") in lexicon.features(text)
+    calm, loud = ["calm"] * 5000, ["LOUD"] * 5000
+    assert shouts("THIS IS A SHORT ONE") and shouts("THIS ONE says more") and shouts(" ".join(calm + loud))
+    assert not shouts(" ".join(calm)) and not shouts("") and not shouts(None) and not shouts("one LOUD word in a line!!")
+    for at in range(7):
+        ws = ["calm"] * 70
+        ws[at::7] = ["LOUD"] * 10
+        assert not shouts(" ".join(ws) + "!!")
+    assert shouts(" ".join(["LOUD"] * 21 + ["calm"] * 49))
+
+
 @here
 def test_toxicity_query(spark):
     from fieldloom.llm.queries import queries
