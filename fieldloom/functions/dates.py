@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, text
+from .text import text
 from .vocabulary import MONTHS
 
 #: Word boundaries by letters, numbers and underscore; Java's own \b treats some numerals otherwise.
@@ -33,21 +33,40 @@ def extract_date(c: Column | str, as_of_year: int | None = None, fix_two_digit_y
     """ID number, then ISO, then day month-name year (the first match of each), then any numeric date, day first.
 
     as_of_year: the year from which an ID's two digits count back (this year). A numeric two-digit year of 32 or more stays as it is
-    written unless fix_two_digit_year is set. Nulls give ''.
+    written unless fix_two_digit_year is set. Nulls give ''. A text without digits costs one look; each pattern is matched once and its
+    parts are cut out of the short match.
     """
     short = (as_of_year or datetime.date.today().year) % 100
-    return let(F.upper(text(c)), lambda u: _dates(u, short, fix_two_digit_year, use_id))
+    u = F.upper(text(c))
+    found = [by_iso(F.regexp_extract(u, ISO, 0)), by_word(F.regexp_extract(u, WORDED, 0)), by_number(u, fix_two_digit_year)]
+    if use_id:
+        found.insert(0, by_id(F.regexp_extract(u, ID, 0), short))
+    return F.when(u.rlike("[0-9]"), F.coalesce(*found, F.lit(""))).otherwise("")
 
 
-def _dates(u: Column, short: int, fix_two_digit_year: bool, use_id: bool) -> Column:
-    part = lambda pattern, i: F.regexp_extract(u, pattern, i)
-    yy = _int(part(ID, 1))
-    by_id = iso_date(F.when(yy <= short, yy + 2000).otherwise(yy + 1900), _int(part(ID, 2)), _int(part(ID, 3)))
-    by_iso = iso_date(_int(part(ISO, 1)), _int(part(ISO, 2)), _int(part(ISO, 3)))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(part(WORDED, 2), 1, 3)).cast("int")
-    by_word = iso_date(_int(part(WORDED, 3)), F.when(month > 0, month), _int(part(WORDED, 1)))
+def _part(m: Column, at: int, n: int) -> Column:
+    return _int(F.substring(m, at, n))
 
-    def numeric(found: Column) -> Column:
+
+def by_id(m: Column, short: int) -> Column:
+    """A match of ID: two digits each of year, month and day in front."""
+    yy = _part(m, 1, 2)
+    return iso_date(F.when(yy <= short, yy + 2000).otherwise(yy + 1900), _part(m, 3, 2), _part(m, 5, 2))
+
+
+def by_iso(m: Column) -> Column:
+    return iso_date(_part(m, 1, 4), _part(m, 6, 2), _part(m, 9, 2))
+
+
+def by_word(m: Column) -> Column:
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(m, "[A-Z]+", 0), 1, 3)).cast("int")
+    return iso_date(_int(F.regexp_extract(m, r"\d{4}$", 0)), F.when(month > 0, month), _int(F.regexp_extract(m, r"^\d{1,2}", 0)))
+
+
+def by_number(u: Column, fix_two_digit_year: bool) -> Column:
+    """The first numeric date that exists, day before month if both orders do."""
+
+    def one(found: Column) -> Column:
         p = F.split(found, r"[.\-/]")
         a, b, y = (_int(F.element_at(p, i)) for i in (1, 2, 3))
         if fix_two_digit_year:
@@ -56,6 +75,5 @@ def _dates(u: Column, short: int, fix_two_digit_year: bool, use_id: bool) -> Col
             year = F.when(y > 31, y).otherwise(y + 2000)
         return F.coalesce(iso_date(year, b, a), iso_date(year, a, b))
 
-    dates = F.filter(F.transform(F.regexp_extract_all(u, F.lit(NUMERIC), F.lit(0)), numeric), lambda x: x.isNotNull())
-    by_number = F.try_element_at(dates, F.lit(1))
-    return F.coalesce(*([by_id] if use_id else []), by_iso, by_word, by_number, F.lit(""))
+    all_ = F.regexp_extract_all(u, F.lit(NUMERIC), F.lit(0))
+    return F.try_element_at(F.filter(F.transform(all_, one), lambda x: x.isNotNull()), F.lit(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import AFTER, BEFORE, extract_date
@@ -44,16 +44,33 @@ def is_stopword(c: Column | str) -> Column:
 
 
 def is_boilerplate_stopword(c: Column | str) -> Column:
-    """A stopword, or one edit away from one where both have four compact characters or more.
+    """A stopword, or one edit away from one where both have four compact characters or more."""
+    return is_stopword(c) | let(compact_text(c), near_stopword)
 
-    The few words are literals in the expression, so no join is planned.
+
+def near_stopword(key: Column | str) -> Column:
+    """Whether a compact text of four characters or more is at most one edit away from a compact stopword of as many.
+
+    The few words are literals in the expression, so no join is planned; lengths are compared first, and the distance stops at two. key is
+    named often: make it a column of its own before (with_compact does).
     """
-    words = F.array(*map(F.lit, FUZZY))
+    k = F.col(key) if isinstance(key, str) else key
+    n = F.length(k)
+    by_length: dict[int, list[str]] = {}
+    for w in FUZZY:
+        for size in range(max(4, len(w) - 1), len(w) + 2):
+            by_length.setdefault(size, []).append(w)
+    found = F.lit(False)
+    for size, ws in sorted(by_length.items(), reverse=True):
+        hit = F.lit(False)
+        for w in ws:
+            hit = hit | (F.levenshtein(k, F.lit(w), 1) >= 0)
+        found = F.when(n == size, hit).otherwise(found)
+    return F.when(n.between(4, max(by_length)), found).otherwise(False)
 
-    def near(k: Column) -> Column:
-        return (F.length(k) >= 4) & F.exists(words, lambda s: (F.abs(F.length(s) - F.length(k)) <= 1) & (F.levenshtein(k, s) <= 1))
 
-    return is_stopword(c) | let(compact_text(c), near)
+def with_compact(rows: DataFrame, c: str = "text", name: str = "__compact") -> DataFrame:
+    return rows.withColumn(name, compact_text(c))
 
 
 def _end_word(c: Column | str, at: int) -> Column:
@@ -69,6 +86,11 @@ def starts_with_name_particle(c: Column | str) -> Column:
     return _end_word(c, 1).rlike("^(" + "|".join(NAME_PARTICLES) + ")")
 
 
+def has_name_particle(c: Column | str) -> Column:
+    """Whether a word of the text is a name particle: a feature by gazetteer, beside n-grams."""
+    return F.arrays_overlap(split_words(squeeze(F.upper(text(c)))), F.array(*map(F.lit, NAME_PARTICLES)))
+
+
 def is_id_fragment(c: Column | str) -> Column:
     return compact_text(c).rlike("^[0-9]{6,}$")
 

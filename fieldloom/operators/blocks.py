@@ -44,6 +44,22 @@ def merge_engines(primary: DataFrame, secondary: DataFrame, engine: str = "merge
     return reading_order(both.withColumn("engine", F.lit(engine)))
 
 
+def join_frequent(rows: DataFrame, table: DataFrame, key: str, freq: str = "freq", at: float = 0.01, most: int = 100_000) -> DataFrame:
+    """rows with table's freq by key, 0 where it has none. Frequent texts are hot keys of blocks by their nature.
+
+    Texts of a freq of `at` or more are counted; up to `most` of them go to every task. The others can stand in less than that share of
+    the identities and are joined by a shuffle, in which rows that have their frequency go spread, by a key of their own.
+    """
+    hot = table.filter(F.col(freq) >= at).select(F.col(key).alias("__hot"), F.col(freq).alias("__f"))
+    if hot.limit(most + 1).count() > most:
+        return rows.join(table.select(key, freq), key, "left").na.fill(0.0, [freq])
+    cold = table.filter(F.col(freq) < at).select(F.col(key).alias("__cold"), F.col(freq).alias("__g"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    aside = F.concat(F.lit("\0"), F.md5(F.to_json(F.struct(*[c for c in rows.columns if c in (*CARD, "block_idx", "doc_id")]))))
+    out = out.withColumn("__key", F.when(F.col("__f").isNotNull(), aside).otherwise(F.col(key))).join(cold, F.col("__key") == F.col("__cold"), "left")
+    return out.withColumn(freq, F.coalesce("__f", "__g", F.lit(0.0))).drop("__hot", "__f", "__key", "__cold", "__g")
+
+
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """Lines of a text table as blocks: 12 points apart with a gap before every fifth, 6 points a character."""
     out = docs.select(key, *extra, F.posexplode(F.split(text, "\n")).alias("block_idx", "text"))

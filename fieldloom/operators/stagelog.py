@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,58 @@ def resized(width: Column, height: Column, cap: int = 1800, low: int = 300) -> C
     return F.struct(w.alias("width"), h.alias("height"), F.greatest(w, h).alias("long_side"), (long_side > cap).alias("downscaled"), (long_side < low).alias("very_low_res"))
 
 
+def order_statistics(rows: DataFrame, wanted: dict[str, list[int]], buckets: int = 4096) -> dict[tuple[str, int], float]:
+    """The values at 0-based ranks of numeric columns, nulls and NaN left out, exactly.
+
+    Each round counts, in one aggregate without a shuffle of values, equal-width buckets between the ends that enclose each rank, and keeps the
+    bucket that holds it. What comes back is `buckets` rows a bracket at most, whatever the size or shape of the table.
+    """
+    clean = rows.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in wanted])
+    ends = clean.agg(*[f(c).alias(f"{k}_{i}") for i, c in enumerate(wanted) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    open_ = {(c, r): (ends[f"lo_{i}"], ends[f"hi_{i}"], 0) for i, (c, ranks) in enumerate(wanted.items()) for r in ranks}
+    out: dict[tuple[str, int], float] = {}
+    while open_:
+        out |= {k: lo for k, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {k: v for k, v in open_.items() if k not in out}
+        brackets = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
+        if not brackets:
+            break
+        cells = [
+            F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), F.least(F.floor((F.col(c) - lo) / ((hi - lo) / buckets)), F.lit(buckets - 1)).alias("b"), F.col(c).alias("v")))
+            for i, (c, lo, hi) in enumerate(brackets)
+        ]
+        counts = clean.select(F.explode(F.array(*cells)).alias("s")).filter("s is not null").groupBy("s.i", "s.b").agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi")).collect()
+        by: dict[int, list] = {}
+        for r in sorted(counts, key=lambda r: (r["i"], r["b"])):
+            by.setdefault(r["i"], []).append(r)
+        for (c, rank), (lo, hi, below) in open_.items():
+            for r in by[brackets.index((c, lo, hi))]:
+                if rank < below + r["n"]:
+                    open_[c, rank] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+    return out
+
+
+def quantiles(rows: DataFrame, columns: list[str], probs: tuple[float, ...]) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles with linear interpolation between neighbouring values; None for a column without values."""
+    present = lambda c: F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    n = rows.agg(*[present(c).alias(c) for c in columns]).first()
+    wanted = {c: sorted({r for p in probs for r in (math.floor((n[c] - 1) * p), math.ceil((n[c] - 1) * p))}) for c in columns if n[c]}
+    at = order_statistics(rows, wanted) if wanted else {}
+    out: dict[tuple[str, float], float | None] = {}
+    for c in columns:
+        for p in probs:
+            place = (n[c] - 1) * p
+            low, high = math.floor(place), math.ceil(place)
+            out[c, p] = at[c, low] + (at[c, high] - at[c, low]) * (place - low) if n[c] else None
+    return out
+
+
 def halves(rows: DataFrame, by: str, small: str = "small", large: str = "large", label: str = "bin") -> DataFrame:
     """Two quantile bins, closed on the right, so equal values never part."""
-    cut = rows.agg(F.percentile(by, F.lit(0.5)).alias("__cut"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn(label, F.when(F.col(by) <= F.col("__cut"), small).otherwise(large)).drop("__cut")
+    cut = quantiles(rows, [by], (0.5,))[by, 0.5]
+    return rows.withColumn(label, F.when(F.col(by) <= F.lit(cut).cast("double"), small).otherwise(large))
 
 
 def histogram(rows: DataFrame, by: str, bins: int = 30) -> DataFrame:
@@ -44,11 +94,12 @@ def histogram(rows: DataFrame, by: str, bins: int = 30) -> DataFrame:
 
 
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """column, count, mean, std, min, quartiles, max; quartiles are exact."""
+    """column, count, mean, std, min, quartiles, max; quartiles are exact. One row a column, made on the driver from bounded counts."""
+    q = quantiles(rows, columns, (0.25, 0.5, 0.75))
     stats = [
         F.struct(
             F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-            F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.5)).alias("q50"), F.percentile(c, F.lit(0.75)).alias("q75"), F.max(c).cast("double").alias("max"),
+            *[F.lit(q[c, p]).cast("double").alias(f"q{p * 100:.0f}") for p in (0.25, 0.5, 0.75)], F.max(c).cast("double").alias("max"),
         )
         for c in columns
     ]
@@ -57,12 +108,19 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of the key: the same rows on any cluster."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def ordered_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Keys in the order of their first appearance."""
-    return rows.groupBy(key).agg(F.min(order).alias("__at")).orderBy("__at").drop("__at")
+    """Keys in the order of their first appearance, with its place as first_at."""
+    return rows.groupBy(key).agg(F.min(order).alias("first_at")).orderBy("first_at")
+
+
+def means(rows: DataFrame, by: list[str], averages: dict[str, str], flags: dict[str, Column], distinct: dict[str, str]) -> DataFrame:
+    """Per group: means of columns, numbers of rows where a flag holds (null: no), numbers of distinct values."""
+    return rows.groupBy(*by).agg(
+        *[F.avg(c).alias(n) for n, c in averages.items()], *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()], *[F.count_distinct(c).alias(n) for n, c in distinct.items()]
+    )
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
