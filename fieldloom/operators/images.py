@@ -9,11 +9,14 @@ from __future__ import annotations
 import io
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import pixels
 
+# Columns of the stages' logs.
 LOADED = "filename string, status string, reason string, height int, width int, channels int"
 RESIZED = (
     "filename string, status string, reason string, original_width int, original_height int, original_long_side int, final_width int, final_height int, "
@@ -62,6 +65,33 @@ def easyocr(device: str):
     return read
 
 
+def paddle(device: str):
+    import numpy as np
+    from paddleocr import PaddleOCR
+    from PIL import Image
+
+    reader = PaddleOCR(use_angle_cls=True, lang="en", use_gpu=device == "cuda", show_log=False)
+
+    def read(raw: bytes) -> tuple[str, list]:
+        pages = reader.ocr(np.asarray(Image.open(io.BytesIO(raw)).convert("RGB")), cls=True)
+        lines = (pages[0] if pages else None) or []  # a page without text is None
+        blocks = ordered([{"text": str(t).strip(), "bbox": [[float(x), float(y)] for x, y in box], "confidence": float(c)} for box, (t, c) in lines if str(t).strip()])
+        return "\n".join(b["text"] for b in blocks), blocks
+
+    return read
+
+
+def sidecar(device: str):
+    """No recognition: the file's content is the text, a block a line. For transcripts beside or instead of images."""
+
+    def read(raw: bytes) -> tuple[str, list]:
+        lines = [t for t in raw.decode("utf-8").splitlines() if t.strip()]
+        box = lambda i, t: [[0.0, 12.0 * i], [6.0 * len(t), 12.0 * i], [6.0 * len(t), 12.0 * i + 10], [0.0, 12.0 * i + 10]]
+        return "\n".join(lines), [{"text": t, "bbox": box(i, t), "confidence": 1.0} for i, t in enumerate(lines)]
+
+    return read
+
+
 def ordered(blocks: list[dict]) -> list[dict]:
     """By smallest y, then smallest x, stable."""
     return sorted(blocks, key=lambda b: (min(p[1] for p in b["bbox"]), min(p[0] for p in b["bbox"])))
@@ -69,6 +99,39 @@ def ordered(blocks: list[dict]) -> list[dict]:
 
 register_engine("tesseract", tesseract)
 register_engine("easyocr", easyocr)
+register_engine("paddleocr", paddle)
+register_engine("text", sidecar)
+
+
+INVENTORY = "filename string, status string, reason string, bytes long, format string, mode string, width int, height int, is_valid boolean"
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """A row for each file: its bytes, format, mode and size, and whether it can be decoded."""
+
+    def one(raw: bytes) -> dict:
+        return pixels.describe(raw)
+
+    out = _each(files, one, INVENTORY)
+    sizes = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"))
+    return out.drop("bytes").join(sizes, "filename").withColumn("is_valid", F.col("status") == "ok")
+
+
+def changed(files: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """filename (with the suffix of what it now is) and content after a change of pixels, for sinks.write_files; files that fail are left out: the log has them."""
+
+    def one(raw: bytes) -> dict:
+        return {"content": pixels.encode(change(pixels.decode(raw)))}
+
+    out = _each(files, one, "filename string, status string, reason string, content binary").filter("status = 'ok'")
+    return out.select(F.concat(F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".ppm")).alias("filename"), "content")
+
+
+def resized(rgb: np.ndarray, cap: int = 1800) -> np.ndarray:
+    """The pixels of the resize stage: never enlarged."""
+    height, width = rgb.shape[:2]
+    scale = min(1.0, cap / max(width, height))
+    return rgb if scale == 1.0 else pixels.shrink(rgb, max(1, round(width * scale)), max(1, round(height * scale)))
 
 
 def load_images(files: DataFrame) -> DataFrame:
@@ -160,6 +223,11 @@ def _step(change: Callable) -> Callable[[bytes], bytes]:
     return lambda raw: pixels.encode(change(pixels.decode(raw)))
 
 
+def preprocessing(name: str) -> Callable[[bytes], bytes] | None:
+    """The step of a name; an unknown name means all of them."""
+    return PREPROCESSING.get(name, PREPROCESSING["full"])
+
+
 def grayscale(rgb):
     return pixels.with_lightness(rgb.mean(2, keepdims=True).repeat(3, 2), pixels.lightness(rgb))
 
@@ -167,3 +235,5 @@ def grayscale(rgb):
 register_preprocessing("grayscale", _step(grayscale))
 register_preprocessing("contrast", _step(lambda rgb: pixels.stretch(rgb)[0]))
 register_preprocessing("equalize", _step(pixels.adaptive_equalize))
+register_preprocessing("perspective", _step(pixels.straighten))
+register_preprocessing("full", _step(lambda rgb: pixels.adaptive_equalize(pixels.straighten(rgb))))

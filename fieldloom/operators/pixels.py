@@ -132,6 +132,52 @@ def unwarp(rgb: np.ndarray, quad: np.ndarray, least: int = 20) -> np.ndarray:
     return np.round(out).astype(np.uint8)
 
 
+def describe(raw: bytes) -> dict:
+    """format, mode, width and height; raises like decode."""
+    height, width = decode(raw).shape[:2]
+    if m := re.match(rb"P([56])", raw):
+        return {"format": "PPM", "mode": "RGB" if m[1] == b"6" else "L", "width": width, "height": height}
+    from PIL import Image
+
+    image = Image.open(io.BytesIO(raw))
+    return {"format": image.format, "mode": image.mode, "width": width, "height": height}
+
+
+def document_quad(rgb: np.ndarray, least_area: float = 0.05, aspect: tuple[float, float] = (1.2, 1.9)) -> np.ndarray | None:
+    """The corners of a document that stands out from its ground by lightness, or None.
+
+    Lightness is parted in two by the cut with the most variance between its sides; the side that the image's border has less of is
+    the document. Its extremes along the two diagonals are the corners, if they hold area enough in a card's proportions, mostly filled.
+    """
+    light = np.clip(lightness(rgb), 0, 255).astype(np.uint8)
+    n = np.bincount(light.ravel(), minlength=256).astype(float)
+    below, total = np.cumsum(n), np.cumsum(n * np.arange(256))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = total / below - (total[-1] - total) / (below[-1] - below)
+    cut = int(np.nan_to_num(below * (below[-1] - below) * gap**2).argmax())
+    mask = light > cut
+    border = np.concatenate([mask[0], mask[-1], mask[:, 0], mask[:, -1]])
+    if border.mean() > 0.5:
+        mask = ~mask
+    y, x = np.nonzero(mask)
+    if not len(x):
+        return None
+    q = corners(np.stack([x, y], 1))
+    area = abs(np.dot(q[:, 0], np.roll(q[:, 1], -1)) - np.dot(q[:, 1], np.roll(q[:, 0], -1))) / 2
+    side = np.linalg.norm(np.roll(q, -1, 0) - q, axis=1)
+    long_side, short_side = max(side[0], side[2]), max(side[1], side[3])
+    ratio = max(long_side, short_side) / max(1.0, min(long_side, short_side))
+    if area < least_area * mask.size or not aspect[0] <= ratio <= aspect[1] or len(x) < 0.8 * area:
+        return None
+    return q
+
+
+def straighten(rgb: np.ndarray) -> np.ndarray:
+    """The document upright, where one is found; else the image as it is."""
+    quad = document_quad(rgb)
+    return rgb if quad is None else unwarp(rgb, quad)
+
+
 def largest_center(boxes: list[tuple[float, float, float, float]]) -> tuple[float, float] | None:
     """The centre of the largest of boxes (x, y, width, height)."""
     if not boxes:

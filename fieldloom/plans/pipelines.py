@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import parse_fields
 from ..operators import blocks as B
-from ..operators import corpus, model, rules, score
+from ..operators import corpus, images, model, rules, score
 from ..operators.features import block_features
 
 
@@ -45,21 +45,39 @@ def cards_of(reports: DataFrame) -> DataFrame:
     return reports.select("engine", "split", "filename").distinct()
 
 
-def predict(reports: DataFrame, sizes: DataFrame, fitted: PipelineModel, method: str = "geo", boilerplate: DataFrame | None = None, as_of_year: int | None = None, **statistics) -> DataFrame:
-    """engine, split, filename, name, birth_date, address. method: plain or geo."""
-    scored = model.score(fitted, block_features(B.report_blocks(reports), sizes, as_of_year=as_of_year, **statistics))
+def predict(reports: DataFrame, sizes: DataFrame, fitted: PipelineModel, method: str = "geo", boilerplate: DataFrame | None = None, as_of_year: int | None = None, frequency: DataFrame | None = None, ngrams: DataFrame | None = None, use_face: bool = False) -> DataFrame:
+    """engine, split, filename, name, birth_date, address. method: plain or geo.
+
+    boilerplate: the frequencies that bar blocks in the rule layer; frequency: those that the model was fitted with, as its feature.
+    """
+    return _predict(B.report_blocks(reports), cards_of(reports), sizes, fitted, method, boilerplate, as_of_year, boilerplate_feature=frequency, ngrams=ngrams, use_face=use_face)
+
+
+def _predict(blocks: DataFrame, cards: DataFrame, sizes: DataFrame, fitted: PipelineModel, method: str, boilerplate: DataFrame | None, as_of_year: int | None, boilerplate_feature: DataFrame | None, ngrams: DataFrame | None, use_face: bool) -> DataFrame:
+    scored = model.score(fitted, block_features(blocks, sizes, boilerplate_feature, ngrams, use_face, as_of_year))
     if method == "plain":
-        return rules.predict_plain(scored, cards_of(reports), as_of_year=as_of_year)
-    return rules.predict_geometric(scored, cards_of(reports), boilerplate, as_of_year=as_of_year)
+        return rules.predict_plain(scored, cards, as_of_year=as_of_year)
+    return rules.predict_geometric(scored, cards, boilerplate, as_of_year=as_of_year)
 
 
-def predict_two_engines(primary: DataFrame, secondary: DataFrame, sizes: DataFrame, fitted: PipelineModel, boilerplate: DataFrame | None = None, as_of_year: int | None = None) -> DataFrame:
-    """Name and address from the primary engine; the date from both engines' blocks together."""
-    first = predict(primary, sizes, fitted, "geo", boilerplate, as_of_year)
+def predict_two_engines(primary: DataFrame, secondary: DataFrame, sizes: DataFrame, fitted: PipelineModel, boilerplate: DataFrame | None = None, as_of_year: int | None = None, frequency: DataFrame | None = None, ngrams: DataFrame | None = None, use_face: bool = False) -> DataFrame:
+    """Name and address from the primary engine; the date from both engines' blocks together. Both passes have all statistics."""
+    statistics = {"boilerplate_feature": frequency, "ngrams": ngrams, "use_face": use_face}
+    first = _predict(B.report_blocks(primary), cards_of(primary), sizes, fitted, "geo", boilerplate, as_of_year, **statistics)
     merged = B.merge_engines(B.report_blocks(primary), B.report_blocks(secondary))
     cards = cards_of(primary).withColumn("engine", F.lit("merged"))
-    scored = model.score(fitted, block_features(merged, sizes, as_of_year=as_of_year))
-    return rules.predict_multi_engine(first, rules.predict_geometric(scored, cards, boilerplate, as_of_year=as_of_year))
+    return rules.predict_multi_engine(first, _predict(merged, cards, sizes, fitted, "geo", boilerplate, as_of_year, **statistics))
+
+
+def predict_images(files: DataFrame, engine: str, preprocessing: str = "none", as_of_year: int | None = None) -> DataFrame:
+    """files (binaryFile rows, such as those without a record): filename, status, reason, name, birth_date, address by the text rules."""
+    read = images.recognize(files, engine, transform=images.preprocessing(preprocessing))
+    return read.select("filename", "status", "reason", parse_fields("raw.full", as_of_year).alias("f")).select("filename", "status", "reason", "f.*")
+
+
+def coverage(predictions: DataFrame) -> DataFrame:
+    """One row: files, and for each field those for which something was read; for files without a record, which can't be scored."""
+    return predictions.agg(F.count(F.lit(1)).alias("files"), *[F.count_if(F.coalesce(F.col(c), F.lit("")) != "").alias(f"with_{c}") for c in ("name", "birth_date", "address")])
 
 
 def evaluate(reports: DataFrame, predictions: DataFrame) -> DataFrame:

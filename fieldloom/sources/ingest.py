@@ -18,6 +18,7 @@ def _struct(names: tuple[str, ...] | list[str], kind: T.DataType = S) -> T.Struc
     return T.StructType([T.StructField(n, kind) for n in names])
 
 
+# Names and types of the files' columns.
 COLUMNS = ("filename", *FIELDS)
 RECORD = _struct(COLUMNS)
 BLOCK = T.StructType([T.StructField("text", S), T.StructField("bbox", T.ArrayType(T.ArrayType(D))), T.StructField("confidence", D)])
@@ -44,18 +45,32 @@ CONTRAST_LOG = T.StructType(
 )
 
 
-def parse_rows(lines: DataFrame) -> DataFrame:
-    """lines (value): one CSV row each. A row wrapped in one more pair of quotes is parsed a second time. Adds n_cells and bad."""
-    value = F.regexp_replace(F.regexp_replace("value", r"^\x{feff}", ""), "\r$", "")
-    # cells of the row, then, if it is but one, cells of that one
-    inner = F.when(value.rlike('^".*"$') & (F.size(F.split(F.regexp_replace(value, '""', ""), '"')) == 3), F.regexp_replace(F.expr("substring(v, 2, length(v) - 2)"), '""', '"')).otherwise(F.col("v"))
-    names = ", ".join(f"{c} STRING" for c in COLUMNS) + ", extra STRING"
-    options = {"escape": '"', "quote": '"', "mode": "PERMISSIVE"}
-    out = lines.withColumn("v", value).filter(F.trim("v") != "").withColumn("v", inner)
-    out = out.withColumn("r", F.from_csv("v", names, options))
-    cells = sum((F.col(f"r.{c}").isNotNull().cast("int") for c in (*COLUMNS, "extra")), F.lit(0))
-    raw_commas = F.length(F.regexp_replace("v", '"(?:[^"]|"")*"', "")) - F.length(F.regexp_replace(F.regexp_replace("v", '"(?:[^"]|"")*"', ""), ",", ""))
-    return out.withColumn("n_cells", raw_commas + 1).drop("extra").withColumn("parsed_cells", cells)
+OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
+ROW = T.StructType([*RECORD.fields, T.StructField("bad", S)])
+
+
+def parse_rows(spark: SparkSession, path: str) -> DataFrame:
+    """filename, name, birth_date, address, row (the text of an odd row), n_cells. Cells may hold line feeds.
+
+    A row wrapped in one more pair of quotes has one cell, which is parsed a second time. Cells are counted where a row has
+    not just the four.
+    """
+    rows = spark.read.schema(ROW).options(**OPTIONS, header=True, enforceSchema=False, multiLine=True).csv(path)
+    odd = F.col("bad").isNotNull()
+    wrapped = odd & F.col("name").isNull() & F.col("filename").contains(",") & F.col("bad").rlike(r'^[\x{feff}\s]*"')
+    again = F.from_csv("filename", ", ".join(f"{c} STRING" for c in (*COLUMNS, "bad")), OPTIONS)
+    whole = F.struct(*[F.col(c) for c in (*COLUMNS, "bad")])
+    out = rows.select(F.when(wrapped, again).otherwise(whole).alias("r")).select("r.*")
+    bare = F.regexp_replace("bad", '"(?:[^"]|"")*"', "")
+    n = F.when(F.col("bad").isNull(), len(COLUMNS)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1)
+    return out.select(*COLUMNS, F.regexp_replace("bad", r"[\r\n]+$", "").alias("row"), n.alias("n_cells"))
+
+
+def check_header(spark: SparkSession, path: str) -> None:
+    """Raises unless the first line that has anything names the four columns. The CSV reader's own check names columns only where it reads."""
+    head = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path).columns
+    if [c.lstrip("\ufeff") for c in head] != list(COLUMNS):
+        raise ValueError(f"{path} does not begin with {','.join(COLUMNS)}")
 
 
 def read_ground_truth(spark: SparkSession, path: str, overrides: dict[str, str] | None = None, strict: bool = True) -> DataFrame:
@@ -63,23 +78,20 @@ def read_ground_truth(spark: SparkSession, path: str, overrides: dict[str, str]
 
     overrides: birth dates by file name that replace what the export has.
     """
-    rows = parse_rows(spark.read.text(path))
-    header = rows.first()
-    if header is None or [header["r"][c] for c in COLUMNS] != list(COLUMNS):
-        raise ValueError(f"{path} does not begin with {','.join(COLUMNS)}")
-    body = rows.filter(~((F.col("r.filename") == COLUMNS[0]) & (F.col("r.name") == COLUMNS[1])))
+    check_header(spark, path)
+    body = parse_rows(spark, path)
     short = F.col("n_cells") < len(COLUMNS)
     if strict:
-        body = body.filter(F.when(short, F.raise_error(F.concat(F.lit("too few cells: "), F.col("v"))).cast("boolean")).otherwise(True))
+        body = body.filter(F.when(short, F.raise_error(F.concat(F.lit("too few cells: "), F.col("row"))).cast("boolean")).otherwise(True))
     else:
         body = body.filter(~short)
-    clean = body.select(*[F.regexp_replace(F.coalesce(F.col(f"r.{c}"), F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias(c) for c in COLUMNS])
+    clean = body.select(*[F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias(c) for c in COLUMNS])
     return override_dates(clean, overrides or {})
 
 
 def failed_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an export that do not have exactly four cells after repair."""
-    return parse_rows(spark.read.text(path)).filter(F.col("n_cells") != len(COLUMNS)).select(F.col("v").alias("row"), "n_cells")
+    return parse_rows(spark, path).filter(F.col("n_cells") != len(COLUMNS)).select("row", "n_cells")
 
 
 def override_dates(records: DataFrame, overrides: dict[str, str]) -> DataFrame:
@@ -100,6 +112,11 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("engine", F.explode("predictions").alias("p")).select("engine", "p.*")
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that write_predictions left: engine and one row per prediction."""
+    return spark.read.schema(T.StructType([T.StructField("engine", S), *PREDICTION.fields])).json(path)
+
+
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXPERIMENT).json(path).withColumn("ts", F.to_timestamp("timestamp"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +15,8 @@ from ..functions.vocabulary import FIELDS
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
-    """A folder for each split, rows sorted by file name."""
-    rows = splits.repartition("split").sortWithinPartitions("filename")
+    """A folder for each split, rows sorted by file name within and over its files. Ranges of split and name, so that no split is one task."""
+    rows = splits.repartitionByRange("split", "filename").sortWithinPartitions("split", "filename")
     rows.write.mode("overwrite").partitionBy("split").csv(path, header=True, escape='"', emptyValue="")
 
 
@@ -24,8 +29,12 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def reloads_equal(rows: DataFrame, again: DataFrame) -> bool:
-    """Same columns and as many rows."""
-    return rows.columns == again.columns and rows.count() == again.count()
+    """Same columns and the same rows, however ordered: counts and two sums of hashes over all cells as text."""
+    if rows.columns != again.columns:
+        return False
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+    sums = [F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(k), *cells).cast("decimal(38,0)")) for k in range(2)]]
+    return tuple(rows.agg(*sums).first()) == tuple(again.agg(*sums).first())
 
 
 def split_summary(splits: DataFrame) -> DataFrame:
@@ -40,6 +49,33 @@ def report(predictions: DataFrame, engine: str, metrics: DataFrame) -> DataFrame
     return metrics.crossJoin(preds).select(F.lit(engine).alias("engine"), "metrics", "predictions")
 
 
+def write_predictions(predictions: DataFrame, path: str, engine: str) -> None:
+    """The predictions as JSON lines, one a prediction: for sets of any size; aggregates go to the experiment log."""
+    predictions.select(F.lit(engine).alias("engine"), "filename", "expected", "predicted", "raw").write.mode("overwrite").json(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """files (filename, content): each as a file of its own in a folder that all executors share; filename and its bytes come back.
+
+    A file is written under another name and moved, so a task that is tried again leaves whole files only.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
+                path = os.path.join(folder, os.path.basename(name))
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, path)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["filename", "bytes"])
+
+    return files.select("filename", "content").mapInArrow(write, "filename string, bytes long")
+
+
 def write_json(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").json(path)
 
@@ -59,4 +95,4 @@ def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/boilerplate")
 
 
-__all__ = ["FIELDS", "write_splits", "write_manifest", "write_csv", "reloads_equal", "split_summary", "report", "write_json", "log_experiment", "save_model", "load_model"]
+__all__ = ["FIELDS", "write_splits", "write_manifest", "write_csv", "write_predictions", "write_files", "reloads_equal", "split_summary", "report", "write_json", "log_experiment", "save_model", "load_model"]
