@@ -5,45 +5,18 @@ Lines of `documents` stand in for blocks of a card, `source` for identities, ord
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.dates import extract_date
-from ..functions.fields import extract_address, extract_name, is_boilerplate_stopword, label_block
+from ..functions.fields import extract_address, extract_name, label_block, near_stopword
 from ..functions.text import character_error_rate, compact_text, normalize_text, normalized_edit_distance, tokens, word_error_rate
 from ..functions.vocabulary import ADDRESS_KEYWORDS, STOPWORDS
 from ..operators import blocks as B
 from ..operators import corpus, features, rules, score, split, stagelog
-from ..shipping import ship
 from ..sources import ingest, sinks
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: ship(spark).read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _upper(c: str) -> str:
-    return f"upper(replace({c}, 'ß', 'ss'))"
-
-
-def _compact(c: str) -> str:
-    return f"regexp_replace({_upper(c)}, '[^A-Z0-9]', '', 'g')"
-
-
-def _norm(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace({_upper(c)}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-
+from .registry import compact, norm, query
 
 LINES = """lines AS (SELECT doc_id, source, lang, i - 1 AS block_idx, a[i] AS text FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS a FROM documents) s, LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i) r),
 blocks AS (SELECT *, 0.0::DOUBLE AS x0, (6 * length(text))::DOUBLE AS x1, (block_idx * 12 + (block_idx // 5) * 40)::DOUBLE AS y0, (block_idx * 12 + (block_idx // 5) * 40)::DOUBLE + 10.0 AS y1 FROM lines)"""
@@ -54,7 +27,7 @@ def _blocks(t) -> DataFrame:
     return B.line_blocks(t("documents"), extra=("source", "lang"))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT DISTINCT source, {_compact('text')} AS text_key FROM blocks WHERE trim(text) <> '')
+@query(f"""WITH {LINES}, k AS (SELECT DISTINCT source, {compact('text')} AS text_key FROM blocks WHERE trim(text) <> '')
 SELECT text_key, round(count(*) / (SELECT count(DISTINCT source) FROM documents)::DOUBLE, 9) AS freq FROM k GROUP BY text_key""")
 def boilerplate_frequency(t):
     docs = t("documents")
@@ -138,7 +111,7 @@ def name_continuations(t):
     return rules.name_continuation(_scored(t), "seed", F.lit(20.0), card=CARD).filter("continues").select("doc_id", "block_idx")
 
 
-GRAMS = f"""{LINES}, q AS (SELECT b.doc_id, block_idx, {_compact('text')} AS s, CASE WHEN quality = 1 THEN 'name' ELSE 'other' END AS label FROM blocks b JOIN labels l ON b.doc_id = l.doc_id),
+GRAMS = f"""{LINES}, q AS (SELECT b.doc_id, block_idx, {compact('text')} AS s, CASE WHEN quality = 1 THEN 'name' ELSE 'other' END AS label FROM blocks b JOIN labels l ON b.doc_id = l.doc_id),
 g AS (SELECT doc_id, block_idx, label, substr(s, i, 3) AS gram FROM q, LATERAL (SELECT unnest(range(1, greatest(length(s) - 2, 1) + 1)) AS i) r WHERE s <> ''),
 c AS (SELECT gram, count(*) FILTER (WHERE label = 'name') AS p, count(*) FILTER (WHERE label = 'other') AS n FROM g GROUP BY gram),
 m AS (SELECT gram, ln(((p + 1.0) / (tp + v)) / ((n + 1.0) / (tn + v))) AS llr FROM c, (SELECT sum(p) AS tp, sum(n) AS tn, count(*) AS v FROM c) t)"""
@@ -172,24 +145,33 @@ def date_extraction(t):
     return o.select("o_orderkey", *[extract_date(c, 2026).alias(k) for k, c in forms.items()])
 
 
-@query(f"""SELECT p_brand, count(*) AS n, round(avg(levenshtein({_norm('p_name')}, {_norm('p_type')}) / greatest(length({_norm('p_name')}), 1)::DOUBLE), 6) AS cer,
-round(avg(levenshtein({_compact('p_name')}, {_compact('p_type')}) / greatest(length({_compact('p_name')}), 1)::DOUBLE), 6) AS distance FROM part GROUP BY p_brand""")
+@query(f"""SELECT p_brand, count(*) AS n, round(avg(levenshtein({norm('p_name')}, {norm('p_type')}) / greatest(length({norm('p_name')}), 1)::DOUBLE), 6) AS cer,
+round(avg(levenshtein({compact('p_name')}, {compact('p_type')}) / greatest(length({compact('p_name')}), 1)::DOUBLE), 6) AS distance FROM part GROUP BY p_brand""")
 def error_rates(t):
     rows = t("part").select("p_brand", character_error_rate("p_name", "p_type").alias("c"), normalized_edit_distance("p_name", "p_type").alias("d"))
     return rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("cer"), F.round(F.avg("d"), 6).alias("distance"))
 
 
-@query()
+WORDS = """w AS (SELECT *, list_distinct(list_concat(e, p)) AS v FROM s), z AS (SELECT *, array_to_string(list_transform(e, lambda x: chr(32 + list_position(v, x)::INTEGER)), '') AS es, array_to_string(list_transform(p, lambda x: chr(32 + list_position(v, x)::INTEGER)), '') AS ps FROM w)"""
+WORD_RATE = "CASE WHEN len(e) = 0 THEN CASE WHEN len(p) > 0 THEN 1.0 ELSE 0.0 END ELSE levenshtein(es, ps) / len(e)::DOUBLE END"
+
+
+def words(c: str) -> str:
+    return f"list_filter(string_split({norm(c)}, ' '), lambda x: x <> '')"
+
+
+@query(f"WITH s AS (SELECT p_brand, {words('p_name')} AS e, {words('p_type')} AS p FROM part), {WORDS} SELECT p_brand, round(avg({WORD_RATE}), 6) AS wer FROM z GROUP BY p_brand")
 def word_error_rates(t):
+    """Words stand as single characters in the SQL, one for each distinct word of a pair."""
     return t("part").groupBy("p_brand").agg(F.round(F.avg(word_error_rate("p_name", "p_type")), 6).alias("wer"))
 
 
-@query(f"SELECT conv_id, turn, {_norm('text')} AS normalized, {_compact('text')} AS compact FROM conversations")
+@query(f"SELECT conv_id, turn, {norm('text')} AS normalized, {compact('text')} AS compact FROM conversations")
 def normalized_turns(t):
     return t("conversations").select("conv_id", "turn", normalize_text("text").alias("normalized"), compact_text("text").alias("compact"))
 
 
-@query(f"SELECT doc_id, len(list_distinct(list_filter(string_split({_norm('text')}, ' '), lambda x: x <> ''))) AS n_tokens FROM documents")
+@query(f"SELECT doc_id, len(list_distinct(list_filter(string_split({norm('text')}, ' '), lambda x: x <> ''))) AS n_tokens FROM documents")
 def distinct_tokens(t):
     return t("documents").select("doc_id", F.size(tokens("text")).cast("long").alias("n_tokens"))
 
@@ -198,14 +180,15 @@ STOP = ", ".join(f"'{s}'" for s in STOPWORDS)
 STOP_COMPACT = ", ".join(f"'{''.join(c for c in s if c.isalnum())}'" for s in STOPWORDS if len("".join(c for c in s if c.isalnum())) >= 4)
 
 
-@query(f"""WITH {LINES}, w AS (SELECT doc_id, block_idx, unnest(string_split(text, ' ')) AS word FROM blocks), k AS (SELECT doc_id, block_idx, {_norm('word')} AS n, {_compact('word')} AS c FROM w)
+@query(f"""WITH {LINES}, w AS (SELECT doc_id, block_idx, unnest(string_split(text, ' ')) AS word FROM blocks), k AS (SELECT doc_id, block_idx, {norm('word')} AS n, {compact('word')} AS c FROM w)
 SELECT c AS word, count(*) AS n FROM k WHERE n IN ({STOP}) OR (length(c) >= 4 AND EXISTS (SELECT 1 FROM (SELECT unnest([{STOP_COMPACT}]) AS s) z WHERE abs(length(s) - length(c)) <= 1 AND levenshtein(c, s) <= 1)) GROUP BY c""")
 def fuzzy_stopwords(t):
     words = _blocks(t).select(F.explode(F.split("text", " ")).alias("word"))
-    return words.filter(is_boilerplate_stopword("word")).groupBy(compact_text("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = words.groupBy(normalize_text("word").alias("norm"), compact_text("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))  # each kind of word is judged once
+    return kinds.filter(F.col("norm").isin(*STOPWORDS) | near_stopword("word")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH {LINES}, n AS (SELECT doc_id, block_idx, {_norm('text')} AS line FROM blocks),
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, block_idx, {norm('text')} AS line FROM blocks),
 nm AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, block_idx) AS k FROM n WHERE line <> '' AND NOT regexp_matches(line, '\\p{{Nd}}') AND line NOT IN ({STOP})),
 ad AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, block_idx) AS k FROM n WHERE line <> '' AND (regexp_matches(line, '{"|".join(ADDRESS_KEYWORDS)}') OR regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])\\d{{4,5}}($|[^\\p{{L}}\\p{{N}}_])')))
 SELECT d.doc_id, coalesce(nm.line, '') AS name, coalesce(ad.line, '') AS address FROM documents d LEFT JOIN nm ON d.doc_id = nm.doc_id AND nm.k = 1 LEFT JOIN ad ON d.doc_id = ad.doc_id AND ad.k = 1""")
@@ -213,7 +196,7 @@ def field_heuristics(t):
     return t("documents").select("doc_id", extract_name("text").alias("name"), extract_address("text").alias("address"))
 
 
-@query(f"""WITH w AS (SELECT p_partkey, list_distinct(string_split({_norm('p_name')}, ' ')) AS own, list_distinct(string_split({_norm('p_type')}, ' ')) AS a, list_distinct(string_split({_norm("p_name || ' ' || p_brand")}, ' ')) AS b FROM part),
+@query(f"""WITH w AS (SELECT p_partkey, list_distinct(string_split({norm('p_name')}, ' ')) AS own, list_distinct(string_split({norm('p_type')}, ' ')) AS a, list_distinct(string_split({norm("p_name || ' ' || p_brand")}, ' ')) AS b FROM part),
 s AS (SELECT p_partkey, len(own) AS n, len(list_intersect(own, a)) / len(own)::DOUBLE AS x, len(list_intersect(own, b)) / len(own)::DOUBLE AS y FROM w)
 SELECT p_partkey, CASE WHEN n < 2 THEN 'other' WHEN x >= 0.6 AND x >= y THEN 'name' WHEN y >= 0.6 THEN 'address' ELSE 'other' END AS label FROM s""")
 def weak_labels(t):
@@ -230,8 +213,7 @@ def latest_per_group(t):
 @query("""SELECT user_id, arg_max(value, struct_pack(ts := ts, e := event_id)) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS before, arg_max(value, struct_pack(ts := ts, e := event_id)) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS after FROM events GROUP BY user_id""")
 def before_and_after(t):
     e = t("events").withColumn("at", F.struct("ts", "event_id"))
-    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
-    return e.groupBy("user_id").agg(F.max_by("value", F.when(early, F.col("at"))).alias("before"), F.max_by("value", F.when(~early, F.col("at"))).alias("after"))
+    return score.before_after(e, ["user_id"], "at", F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), "value")
 
 
 @query("""SELECT o_orderstatus, round(sum(o_totalprice) FILTER (WHERE y = 1992), 2) AS "1992", round(sum(o_totalprice) FILTER (WHERE y = 1993), 2) AS "1993", round(sum(o_totalprice) FILTER (WHERE y = 1994), 2) AS "1994", round(sum(o_totalprice) FILTER (WHERE y = 1995), 2) AS "1995" FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY o_orderstatus""")
@@ -269,7 +251,7 @@ def length_histogram(t):
 
 @query("SELECT source, round(avg(n_chars), 4) AS mean_chars, count_if(lang = 'en')::BIGINT AS english, count(DISTINCT lang) AS languages FROM documents GROUP BY source")
 def source_means(t):
-    return t("documents").groupBy("source").agg(F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.count_if(F.col("lang") == "en").alias("english"), F.count_distinct("lang").alias("languages"))
+    return stagelog.means(t("documents"), ["source"], {"mean_chars": "n_chars"}, {"english": F.col("lang") == "en"}, {"languages": "lang"}).withColumn("mean_chars", F.round("mean_chars", 4))
 
 
 RECORDS = "records AS (SELECT o_orderkey::VARCHAR AS filename, 'C' || o_custkey AS name, CASE WHEN o_orderstatus = 'P' THEN year(o_orderdate)::VARCHAR WHEN o_orderstatus = 'F' THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS birth_date, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE '' END AS address FROM orders)"
@@ -306,8 +288,8 @@ def set_operations(t):
 
 @query("SELECT lang, row_number() OVER (ORDER BY min(doc_id)) AS position FROM documents GROUP BY lang")
 def ordered_distinct(t):
-    firsts = t("documents").groupBy("lang").agg(F.min("doc_id").alias("at")).groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "lang"))).alias("a"))
-    return firsts.select(F.posexplode("a").alias("p", "r")).select("r.lang", (F.col("p") + 1).cast("long").alias("position"))
+    keys = stagelog.ordered_distinct(t("documents"), "lang", "doc_id")
+    return keys.select("lang", F.row_number().over(W.orderBy("first_at")).cast("long").alias("position"))  # a row a key, few by now
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) SELECT doc_id FROM r WHERE k = 1")
@@ -320,20 +302,30 @@ def split_summary(t):
     return sinks.split_summary(_records(t).withColumn("split", F.when(F.col("address") != "", "train").otherwise("val")))
 
 
-@query()
+SPLIT = f"""WITH RECURSIVE {RECORDS}, i AS (SELECT concat_ws(chr(31), name, birth_date) AS id, count(*) AS n, bool_or(address <> '') AS has FROM records GROUP BY 1),
+k AS (SELECT *, md5(concat_ws(chr(31), id, '42')) AS key FROM i), r AS (SELECT *, has AND row_number() OVER (PARTITION BY has ORDER BY key, id) <= 15 AS reserved FROM k),
+f AS (SELECT *, reserved OR n > 2 AS fixed FROM r), o AS (SELECT n, row_number() OVER (ORDER BY n DESC, key, id) AS pos FROM f WHERE NOT fixed), t AS (SELECT sum(n)::DOUBLE AS total, coalesce(sum(n) FILTER (WHERE fixed), 0)::BIGINT AS held, count_if(fixed)::BIGINT AS ids, coalesce(max(n) FILTER (WHERE fixed), 0) AS top FROM f),
+g AS (SELECT 0::BIGINT AS pos, held AS a, 0::BIGINT AS b, 0::BIGINT AS c, ids AS ka, 0::BIGINT AS kb, 0::BIGINT AS kc, top AS ma, 0::BIGINT AS mb, 0::BIGINT AS mc, total FROM t
+UNION ALL SELECT pos, CASE s WHEN 0 THEN a + n ELSE a END, CASE s WHEN 1 THEN b + n ELSE b END, CASE s WHEN 2 THEN c + n ELSE c END, CASE s WHEN 0 THEN ka + 1 ELSE ka END, CASE s WHEN 1 THEN kb + 1 ELSE kb END, CASE s WHEN 2 THEN kc + 1 ELSE kc END,
+CASE s WHEN 0 THEN greatest(ma, n) ELSE ma END, CASE s WHEN 1 THEN greatest(mb, n) ELSE mb END, CASE s WHEN 2 THEN greatest(mc, n) ELSE mc END, total
+FROM (SELECT o.pos, o.n, g.* EXCLUDE (pos), CASE WHEN a - 0.8 * total <= b - 0.1 * total AND a - 0.8 * total <= c - 0.1 * total THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS s FROM g JOIN o ON o.pos = g.pos + 1) z)
+SELECT unnest(['train', 'val', 'test']) AS split, unnest([a, b, c]) AS rows, unnest([ka, kb, kc]) AS identities, unnest([ma, mb, mc]) AS max_rows FROM g WHERE g.pos = (SELECT max(pos) FROM g)"""
+
+
+@query(SPLIT)
 def identity_split(t):
-    """Rows and identities per split; disjointness and caps are tested."""
-    return sinks.split_summary(split.group_split(_records(t)))
+    """Rows and identities per split. The SQL gives one identity after the other to the split that lacks most; disjointness and caps are tested."""
+    return sinks.split_summary(split.group_split(_records(t))).drop("address_rows")
 
 
 @query(f"""WITH w AS (SELECT p_partkey, p_name, string_split(p_type, ' ') AS a FROM part), b AS (SELECT p_partkey, p_name, i, a[i] AS one, concat_ws(' ', a[i], CASE WHEN i < len(a) THEN a[i + 1] END) AS two FROM w, LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i) r),
-s AS (SELECT p_partkey, least(levenshtein({_norm('p_name')}, {_norm('one')}), levenshtein({_norm('p_name')}, {_norm('two')})) / greatest(length({_norm('p_name')}), 1)::DOUBLE AS c FROM b) SELECT p_partkey, round(min(c), 9) AS best FROM s GROUP BY p_partkey""")
+s AS (SELECT p_partkey, least(levenshtein({norm('p_name')}, {norm('one')}), levenshtein({norm('p_name')}, {norm('two')})) / greatest(length({norm('p_name')}), 1)::DOUBLE AS c FROM b) SELECT p_partkey, round(min(c), 9) AS best FROM s GROUP BY p_partkey""")
 def best_block_runs(t):
     b = t("part").select("p_partkey", "p_name", F.posexplode(F.split("p_type", " ")).alias("block_idx", "text"))
     return B.best_runs(b, F.col("p_name"), character_error_rate, 2, ("p_partkey",)).withColumn("best", F.round("best", 9))
 
 
-@query(f"""WITH b AS (SELECT doc_id, list_distinct(list_filter(string_split({_norm('text')}, ' '), lambda x: x <> '')) AS have, list_distinct(list_filter(string_split({_norm('source || chr(32) || lang')}, ' '), lambda x: x <> '')) AS want FROM documents) SELECT doc_id, round(len(list_intersect(want, have)) / len(want)::DOUBLE, 9) AS covered FROM b""")
+@query(f"""WITH b AS (SELECT doc_id, list_distinct(list_filter(string_split({norm('text')}, ' '), lambda x: x <> '')) AS have, list_distinct(list_filter(string_split({norm('source || chr(32) || lang')}, ' '), lambda x: x <> '')) AS want FROM documents) SELECT doc_id, round(len(list_intersect(want, have)) / len(want)::DOUBLE, 9) AS covered FROM b""")
 def field_recoverability(t):
     b = _blocks(t).withColumn("want", F.concat_ws(" ", "source", "lang"))
     return B.coverage(b, tokens, F.col("want"), CARD).withColumn("covered", F.round("covered", 9))
@@ -345,7 +337,7 @@ def majority_vote(t):
 
 
 @query(f"""WITH r AS (SELECT c_mktsegment AS method, 'name' AS field, c_name AS expected, n_name AS predicted FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_mktsegment, 'address', n_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
-s AS (SELECT method, field, {_norm('expected')} AS e, {_norm('predicted')} AS p FROM r)
+s AS (SELECT method, field, {norm('expected')} AS e, {norm('predicted')} AS p FROM r)
 SELECT method, field, count(*) AS n, round(count_if(e = p) / count(*)::DOUBLE, 6) AS exact_accuracy, round(avg(levenshtein(e, p) / greatest(length(e), 1)::DOUBLE), 6) AS character_error_rate FROM s GROUP BY method, field""")
 def field_scores(t):
     both = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))

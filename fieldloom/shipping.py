@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, n)
                         z.write(full, os.path.join("fieldloom", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(path)
-        if spark.conf.get(ROWS, "10000") == "10000":  # texts can be long: smaller Arrow batches bound a worker's memory
+        if spark.conf.get(ROWS, None) is None:  # texts can be long: smaller Arrow batches bound a worker's memory
             spark.conf.set(ROWS, "2000")
         _SHIPPED.add(app)
     return spark

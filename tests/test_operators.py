@@ -124,10 +124,63 @@ def test_split(spark, shuffle):
     assert len({r["name"] for r in out if r["split"] == "train" and r["address"]}) >= 15
     again = split.group_split(df.repartition(7), shuffle=shuffle).collect()
     assert {(r["filename"], r["split"]) for r in again} == {(r["filename"], r["split"]) for r in out}
-    native = split.native_split(df).groupBy("name").agg(F.count_distinct("split").alias("n")).filter("n > 1").count()
-    assert native == 0
+    for bad in ({"ratios": (0.5, 0.1, 0.1)}, {"ratios": (0.9, 0.1, 0.0)}, {"max_rows_per_identity_in_eval": 0}):
+        with pytest.raises(ValueError):
+            split.group_split(df, **bad)
     with pytest.raises(ValueError):
-        split.group_split(df, ratios=(0.5, 0.1, 0.1))
+        split.group_split(df.limit(0), shuffle=shuffle)
+
+
+def test_fold_over_counts_equals_the_fold_over_identities():
+    rng = random.Random(8)
+    for _ in range(200):
+        free = {n: rng.randrange(0, 60) for n in range(1, rng.randrange(2, 5))}
+        held = rng.randrange(0, 80)
+        total = held + sum(n * k for n, k in free.items())
+        target = [r * total for r in (0.8, 0.1, 0.1)]
+        got, want, counts = [held, 0, 0], [held, 0, 0], {n: [0, 0, 0] for n in free}
+        made = split.fold_counts(free, got, target)
+        for n in sorted(free, reverse=True):
+            for _ in range(free[n]):
+                best = min(range(3), key=lambda i: want[i] - target[i])
+                want[best] += n
+                counts[n][best] += 1
+        assert got == want and made == counts
+    many = split.fold_counts({1: 3_000_000}, got := [0, 0, 0], [2_400_000.0, 300_000.0, 300_000.0])
+    assert sum(many[1]) == 3_000_000 and max(abs(g - t) for g, t in zip(got, (2_400_000, 300_000, 300_000), strict=True)) <= 2
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([rng.random() * 1e9, 5.0, -1e-9, rng.gauss(0, 1)]), float(rng.randrange(3)), None if i % 3 else 1.5) for i in range(3001)]
+    df = spark.createDataFrame([*rows, (float("nan"), None, None)], "a double, b double, c double").repartition(5)
+    got = stagelog.quantiles(df, ["a", "b", "c"], (0.0, 0.1, 0.25, 0.5, 0.9, 1.0))
+    for i, c in enumerate("abc"):
+        values = sorted(r[i] for r in rows if r[i] is not None)
+        for p in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
+            place = (len(values) - 1) * p
+            low = int(place)
+            high = min(low + 1, len(values) - 1)
+            assert got[c, p] == pytest.approx(values[low] + (values[high] - values[low]) * (place - low), rel=1e-12)
+    assert set(stagelog.quantiles(df.limit(0), ["a"], (0.5,)).values()) == {None}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_frequent_texts_join(spark, most):
+    rows = spark.createDataFrame([(f"f{i}", i, "HOT" if i % 2 else f"T{i % 7}") for i in range(200)], "filename string, block_idx int, key string")
+    table = spark.createDataFrame([("HOT", 0.9), ("T2", 0.001), ("T4", 0.5), ("NONE", 0.7)], "key string, freq double")
+    got = {r["block_idx"]: r["freq"] for r in B.join_frequent(rows, table, "key", most=most).collect()}
+    assert got == {i: 0.9 if i % 2 else {2: 0.001, 4: 0.5}.get(i % 7, 0.0) for i in range(200)}
+
+
+def test_longer_grams_by_rows(spark):
+    rows = spark.createDataFrame([("SITI AMINAH", "name"), ("AHMAD ALI", "name"), ("WARGANEGARA", "other"), ("AB", "other"), ("", "other")], "text string, label string")
+    for n in (2, 3, 4):
+        m = corpus.ngram_model(rows, n=n)
+        plain = [(t[i : i + n], lab) for t, lab in (("SITIAMINAH", "name"), ("AHMADALI", "name"), ("WARGANEGARA", "other"), ("AB", "other")) for i in range(max(1, len(t) - n + 1))]
+        assert {r["gram"] for r in m.collect()} == {g for g, _ in plain}
+        scores = {r["i"]: r["ngram_score"] for r in corpus.ngram_score(spark.createDataFrame([(0, "AMINA ALI"), (1, "WARGA"), (2, "é")], "i int, text string"), m, ["i"], n=n).collect()}
+        assert scores[0] > scores[1] and scores[2] == 0.0
 
 
 def test_scores(spark):

@@ -2,9 +2,12 @@
 
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from fieldloom.plans.queries import QUERIES, SQL
+from fieldloom.plans import card_queries, queries, source_queries  # noqa: F401  they register
+from fieldloom.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +25,8 @@ def duck():
 
 
 def rows(df):
-    cell = lambda v: None if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    empty = lambda v: v is None or v is pd.NA or isinstance(v, float) and v != v
+    cell = lambda v: None if empty(v) else f"{v:.6f}" if isinstance(v, float) and v % 1 else str(int(v)) if isinstance(v, float) else str(int(v)) if isinstance(v, bool | np.bool_ | np.integer) else str(list(v)) if isinstance(v, np.ndarray) else str(v)
     return sorted((tuple(map(cell, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
 

@@ -24,6 +24,9 @@ def test_ground_truth_repair(spark, tmp_path):
     path.write_text("a,b\n")
     with pytest.raises(ValueError):
         ingest.read_ground_truth(spark, str(path))
+    path.write_text('filename,name,birth_date,address\nx,"two\nlines",1990,a\n"y,""more\nlines"",1991,b"\nfilename,name,birth_date,address\n')
+    got = [tuple(r) for r in ingest.read_ground_truth(spark, str(path)).collect()]
+    assert got == [("x", "two\nlines", "1990", "a"), ("y", "more\nlines", "1991", "b"), ("filename", "name", "birth_date", "address")]
 
 
 def test_split_round_trip(spark, tmp_path):

@@ -80,6 +80,27 @@ def test_fit_predict_evaluate(spark, reports, sizes, tmp_path):
     assert pipelines.predict(reports, sizes, fitted, "plain", as_of_year=2026).count() == 17
     two = pipelines.predict_two_engines(reports, reports, sizes, fitted, boilerplate, 2026)
     assert two.count() == 17 and {r["name"] for r in two.collect()} == {r["name"] for r in rows.values()}
+    # the feature's frequencies and those that bar blocks are two tables, and both passes have all statistics
+    common = {"frequency": boilerplate, "ngrams": ngrams, "use_face": True}
+    with_all = pipelines.fit(reports, sizes, max_iter=60, as_of_year=2026, boilerplate=boilerplate, ngrams=ngrams, use_face=True)
+    feats = {"boilerplate": boilerplate, "ngrams": ngrams, "use_face": True}
+    scored = model.score(with_all, features.block_features(B.report_blocks(reports), sizes, as_of_year=2026, **feats))
+    want = {r["filename"]: tuple(r) for r in rules.predict_geometric(scored, pipelines.cards_of(reports), as_of_year=2026).select("filename", "name", "address").collect()}
+    seen = []
+    plain = features.block_features
+
+    def spy(blocks, s, *a, **k):
+        seen.append((a, k))
+        return plain(blocks, s, *a, **k)
+
+    pipelines.block_features = spy
+    try:
+        got = pipelines.predict(reports, sizes, with_all, as_of_year=2026, **common)
+        assert {r["filename"]: tuple(r) for r in got.select("filename", "name", "address").collect()} == want
+        pipelines.predict_two_engines(reports, reports, sizes, with_all, as_of_year=2026, **common)
+    finally:
+        pipelines.block_features = plain
+    assert len(seen) == 3 and all(a[0] is boilerplate and a[1] is ngrams and a[2] is True for a, _ in seen)
     doc = sinks.report(reports.join(predicted.select("filename", F.struct("name", "birth_date", "address").alias("got")), "filename").withColumn("predicted", F.col("got")), "one", pipelines.evaluate(reports, predicted))
     sinks.write_json(doc, str(tmp_path / "r"))
     assert ingest.read_reports(spark, str(tmp_path / "r")).count() == 17
