@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import text
-from .vocabulary import MONTHS
 
 #: Word boundaries by letters, numbers and underscore; Java's own \b treats some numerals otherwise.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -18,15 +17,13 @@ WORDED = BEFORE + r"(\d{1,2})[.\- ]+([A-Z]{3,9})\.?[.\- ]+(\d{4})" + AFTER
 NUMERIC = BEFORE + r"\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}" + AFTER
 
 
-def iso_date(y: Column, m: Column, d: Column) -> Column:
-    """yyyy-MM-dd for a date that exists, else null."""
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    made = F.concat_ws("-", pad(y, 4), pad(m, 2), pad(d, 2))
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull() & (y >= 1) & made.try_cast("date").isNotNull(), made)
+def existing(c: Column) -> Column:
+    """The ISO text of a date that exists, else null. Names its input once, so what it is made of is computed once."""
+    return F.regexp_replace(c, "^0000", "").try_cast("date").cast("string")
 
 
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
+def _two(c: Column) -> Column:
+    return F.lpad(c, 2, "0")
 
 
 def extract_date(c: Column | str, as_of_year: int | None = None, fix_two_digit_year: bool = False, use_id: bool = True) -> Column:
@@ -44,36 +41,34 @@ def extract_date(c: Column | str, as_of_year: int | None = None, fix_two_digit_y
     return F.when(u.rlike("[0-9]"), F.coalesce(*found, F.lit(""))).otherwise("")
 
 
-def _part(m: Column, at: int, n: int) -> Column:
-    return _int(F.substring(m, at, n))
-
-
 def by_id(m: Column, short: int) -> Column:
     """A match of ID: two digits each of year, month and day in front."""
-    yy = _part(m, 1, 2)
-    return iso_date(F.when(yy <= short, yy + 2000).otherwise(yy + 1900), _part(m, 3, 2), _part(m, 5, 2))
+    century = F.when(F.substring(m, 1, 2) <= f"{short:02d}", "20").otherwise("19")
+    return existing(F.concat(century, F.regexp_replace(m, r"^(\d\d)(\d\d)(\d\d).*$", "$1-$2-$3")))
 
 
 def by_iso(m: Column) -> Column:
-    return iso_date(_part(m, 1, 4), _part(m, 6, 2), _part(m, 9, 2))
+    return existing(F.translate(m, "./", "--"))
 
 
 def by_word(m: Column) -> Column:
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(F.regexp_extract(m, "[A-Z]+", 0), 1, 3)).cast("int")
-    return iso_date(_int(F.regexp_extract(m, r"\d{4}$", 0)), F.when(month > 0, month), _int(F.regexp_extract(m, r"^\d{1,2}", 0)))
+    """Months by their first three letters; names that are none give no date."""
+    short = F.regexp_replace(m, r"^(\d{1,2})[.\- ]+([A-Z]{3})[A-Z]*\.?[.\- ]+(\d{4})$", "$3-$2-$1")
+    return F.try_to_timestamp(short, F.lit("yyyy-MMM-d")).cast("date").cast("string")
 
 
 def by_number(u: Column, fix_two_digit_year: bool) -> Column:
     """The first numeric date that exists, day before month if both orders do."""
 
     def one(found: Column) -> Column:
-        p = F.split(found, r"[.\-/]")
-        a, b, y = (_int(F.element_at(p, i)) for i in (1, 2, 3))
+        a, b, y = (F.element_at(F.split(found, r"[.\-/]"), i) for i in (1, 2, 3))
+        n = y.try_cast("int")
         if fix_two_digit_year:
-            year = F.when(F.length(F.element_at(p, 3)) > 2, y).when(y < 50, y + 2000).otherwise(y + 1900)
+            year = F.when(F.length(y) > 2, n).when(n < 50, n + 2000).otherwise(n + 1900)
         else:
-            year = F.when(y > 31, y).otherwise(y + 2000)
-        return F.coalesce(iso_date(year, b, a), iso_date(year, a, b))
+            year = F.when(n > 31, n).otherwise(n + 2000)
+        year = F.lpad(year.cast("string"), 4, "0")
+        return F.coalesce(existing(F.concat_ws("-", year, _two(b), _two(a))), existing(F.concat_ws("-", year, _two(a), _two(b))))
 
     all_ = F.regexp_extract_all(u, F.lit(NUMERIC), F.lit(0))
     return F.try_element_at(F.filter(F.transform(all_, one), lambda x: x.isNotNull()), F.lit(1))

@@ -13,8 +13,6 @@ STOPWORDS = (
 )
 # Particles between given name and father's name.
 NAME_PARTICLES = ("A/L", "A/P", "BINTI", "BINTE", "BINT", "BIN")
-# Months by their first three letters.
-MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 # Labels of the pretrained entity model, by field.
 ENTITY_LABELS = {"name": ("GIVENNAME", "SURNAME"), "address": ("STREET", "BUILDINGNUM", "CITY", "ZIPCODE"), "birth_date": ("DATEOFBIRTH",)}
 # Thresholds of the rule layer.

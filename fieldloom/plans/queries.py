@@ -184,8 +184,10 @@ STOP_COMPACT = ", ".join(f"'{''.join(c for c in s if c.isalnum())}'" for s in ST
 SELECT c AS word, count(*) AS n FROM k WHERE n IN ({STOP}) OR (length(c) >= 4 AND EXISTS (SELECT 1 FROM (SELECT unnest([{STOP_COMPACT}]) AS s) z WHERE abs(length(s) - length(c)) <= 1 AND levenshtein(c, s) <= 1)) GROUP BY c""")
 def fuzzy_stopwords(t):
     words = _blocks(t).select(F.explode(F.split("text", " ")).alias("word"))
-    kinds = words.groupBy(normalize_text("word").alias("norm"), compact_text("word").alias("word")).agg(F.count(F.lit(1)).alias("n"))  # each kind of word is judged once
-    return kinds.filter(F.col("norm").isin(*STOPWORDS) | near_stopword("word")).groupBy("word").agg(F.sum("n").alias("n"))
+    kinds = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # each word is judged once; as results of an aggregate its forms are computed once, too, and not put into the filter in their place
+    kinds = kinds.groupBy("word").agg(F.max(normalize_text("word")).alias("norm"), F.max(compact_text("word")).alias("compact"), F.max("n").alias("n"))
+    return kinds.filter(F.col("norm").isin(*STOPWORDS) | near_stopword("compact")).groupBy(F.col("compact").alias("word")).agg(F.sum("n").alias("n"))
 
 
 @query(f"""WITH {LINES}, n AS (SELECT doc_id, block_idx, {norm('text')} AS line FROM blocks),
