@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else f"{tempfile.gettempdir()}/fieldloom-shared"
-    return found.rstrip("/")
-
+from ..shared import discard, shared_dir, stash
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df once under the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation.
+__all__ = ["ASCII_SPACE", "bounded_sample", "char_class", "discard", "fold", "shared_dir", "spread", "stash"]
 
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -44,8 +24,8 @@ def spread(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bounded_sample(rows: DataFrame, strata: Column, per_stratum: int, by: list[Column], at_most: int) -> DataFrame:
-    """About per_stratum rows of each stratum, chosen by a hash of `by`, at_most in all.
+def bounded_sample(rows: DataFrame, strata: Column, per_stratum: int, by: list[Column]) -> DataFrame:
+    """About per_stratum rows of each stratum, chosen by a hash of `by`.
 
     One pass counts the strata (partial aggregates only), a second keeps rows under each stratum's threshold, so no
     stratum is gathered in one task. Strata beyond the 500 largest share the smallest of their rates.
@@ -56,4 +36,11 @@ def bounded_sample(rows: DataFrame, strata: Column, per_stratum: int, by: list[C
     rate = F.lit(min(1.0, per_stratum / counts[-1]["n"]) if len(counts) == 500 else 0.0)
     for r in counts:
         rate = F.when(strata.eqNullSafe(F.lit(r["s"])), F.lit(min(1.0, per_stratum / r["n"]))).otherwise(rate)
-    return rows.filter(spread(*by) < rate).limit(at_most)
+    return rows.filter(spread(*by) < rate)
+
+
+def char_class(*categories: str) -> str:
+    """The inside of a character class of `re` for Unicode categories, such as "L" for letters."""
+    hits = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] in categories]
+    cuts = [0, *(i for i in range(1, len(hits)) if hits[i] != hits[i - 1] + 1), len(hits)]
+    return "".join(f"\\U{hits[a]:08x}-\\U{hits[b - 1]:08x}" for a, b in zip(cuts, cuts[1:], strict=False) if a < b)

@@ -4,16 +4,18 @@ Voters. Fixed insult words and learned terms (whole words and beginnings of word
 lexicon voters; counts of hits, shouting and address form pattern voters. A voter says toxic (1), clean (-1) or nothing (0).
 
 Label model. Each row's true label is hidden; given it, every voter, the human label among them, has its own table of
-probabilities (accuracy and coverage), estimated by expectation maximisation. Voters that go together within a class are correlated: a
-voter counts with 1 / (1 + the sum of its positive correlations), so a family of like terms speaks as about one.
+probabilities (accuracy and coverage), estimated by expectation maximisation; the human label is only the first guess. Voters that go together
+within a class are correlated: a voter counts with 1 / (1 + the sum of its correlations over CORRELATED), so a family of like terms speaks as about
+one. This holds for the human label, too: its accuracy and weight are estimated, not set, and the posterior can be had without it.
 
 Classifier. Logistic regression on term and pattern indicators is trained on the posterior labels. Scores see the text only.
 
 Training takes about `per_class` rows of each label at most (a documented bound; chosen by a hash of doc_id and weighted back
-to the class shares), from rows outside the held-out fold. Scoring covers every whole text.
+to the class shares), from rows outside the held-out fold. Scoring covers every whole text, however long.
 
 Nulls: null texts score as empty ones; rows with null labels or unknown documents aren't learnt from; several labels
-for one doc_id count as toxic if any is. Without labelled rows the fixed words alone decide. Repeated rows give equal rows.
+for one doc_id count as toxic if any is, of several texts the one with the least hash is learnt from. Without labelled rows the fixed
+words alone decide. Repeated rows give equal rows. An empty table gives an empty result. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -32,11 +34,20 @@ from .common import bounded_sample, fold
 
 FOLDS, HELD_OUT = 5, 0
 WORD = re.compile(r"[^\W\d_]+")
-#: Fixed insults.
-SEED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless", "idiots", "morons", "losers", "imbecile", "bastard", "filth", "vermin")
+#: Common insults of four languages in alphabetical order.
+SEED = (
+    "bastard", "clown", "clowns", "coward", "creep", "disgusting", "dumb", "filth", "filthy", "fool", "freak", "garbage", "idiot", "idiotic", "idiots", "imbecile", "jerk",
+    "loser", "losers", "moron", "morons", "nasty", "pathetic", "rubbish", "scum", "shameful", "stupid", "trash", "ugly", "useless", "vermin", "worthless",
+    "abschaum", "depp", "dummkopf", "dumm", "ekelhaft", "erbärmlich", "idioten", "trottel", "versager", "wertlos", "widerlich",
+    "abruti", "crétin", "débile", "dégoûtant", "idiote", "imbécile", "minable", "ordure", "pitoyable", "stupide",
+    "asqueroso", "basura", "cobarde", "escoria", "estúpido", "estúpida", "idiota", "imbécil", "inútil", "patético",
+)
+SEEDS = frozenset(SEED)
 PREFIXES = (4, 5, 6, 7)
 #: The least share of upper-case words, among all words of a text, that is shouting.
 SHOUTED = 0.3
+#: Correlations that count; lower ones, of hundreds of voters, are mostly chance.
+CORRELATED = 0.25
 PATTERNS = ("seed>=1", "seed>=2", "seed>=3", "learned>=1", "learned>=2", "learned>=3", "none", "shouting", "address")
 
 
@@ -67,7 +78,7 @@ class Lexicon:
         for w in [w for w in ws if w[:4] in heads]:
             ts = [t for t in terms_of(w) if t in self.terms]
             found.update(map(get, ts))
-            seed += w in SEED
+            seed += w in SEEDS
             learned += any(t in self.learned for t in ts)
         spoken = text.split()
         shouting = bool(spoken) and sum(map(str.isupper, spoken)) >= SHOUTED * len(spoken)
@@ -113,7 +124,7 @@ def learn_terms(rows: list[tuple[list[str], bool, float]], most: int = 400) -> t
 def votes(found: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """Rows x voters in {1, 0, -1}: a voter for each seed word and learned term, and the patterns."""
     n_terms = len(lexicon.terms)
-    marks = [i for t, i in lexicon.terms.items() if t in lexicon.learned or t in SEED]
+    marks = [i for t, i in lexicon.terms.items() if t in lexicon.learned or t in SEEDS]
     lexical = found[:, marks].astype(np.int8)
     p = found[:, n_terms:].astype(np.int8)
     patterns = np.stack([p[:, 1], p[:, 2], p[:, 4], p[:, 5], -p[:, 6], p[:, 8], np.where(p[:, 0] | p[:, 3], 0, -p[:, 7])], 1)
@@ -121,32 +132,45 @@ def votes(found: np.ndarray, lexicon: Lexicon) -> np.ndarray:
 
 
 class LabelModel:
-    """Voters' accuracies and correlations, without looking at the truth: expectation maximisation over votes, the human label being one of them."""
+    """Voters' accuracies and correlations, without looking at the truth: expectation maximisation over votes."""
 
-    def fit(self, v: np.ndarray, human: np.ndarray, weight: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """The posterior probability that each row is toxic."""
-        v = np.concatenate([v, np.where(human, 1, -1).astype(np.int8)[:, None]], 1)
+    def fit(self, v: np.ndarray, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
+        """v: rows x voters in {1, 0, -1}, the last of which gives the first guess. The posterior probability that each row is toxic."""
         says = np.stack([v == 1, v == 0, v == -1]).astype(float)
-        p = np.where(human, 0.95, 0.05)
-        for _ in range(rounds):
-            on, off = weight * p, weight * (1 - p)
-            self.prior = np.clip(on.sum() / weight.sum(), 1e-3, 1 - 1e-3)
-            self.table = np.stack([(np.einsum("i,lij->lj", m, says) + 0.1) / (m.sum() + 0.3) for m in (off, on)])
-            corr = np.zeros((v.shape[1], v.shape[1]))
-            for m in (off, on):
-                mean = (m @ v) / max(m.sum(), 1e-9)
-                x = (v - mean) * np.sqrt(m)[:, None]
-                cov = x.T @ x
-                scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-                corr += np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 1e-9) * (m.sum() / weight.sum())
-            self.correlation = corr
-            self.share = 1 / (1 + np.clip(corr - np.eye(len(corr)), 0, None).sum(1))
-            self.share[-1] = 1.0
-            odds = np.log(self.table[1]) - np.log(self.table[0])
-            logit = np.log(self.prior / (1 - self.prior)) + np.einsum("lij,lj,j->i", says, odds, self.share)
-            p = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1e-4, 1 - 1e-4)
+        p = 0.5 + 0.45 * v[:, -1]
+        for n in range(rounds):
+            self.learn(v, says, weight, p)
+            if not n:  # a guess leaves every good voter tied to the others; ties count once the classes are the voters' own
+                self.share[:] = 1.0
+            before, p = p, self.posterior(v)
+            if n and np.abs(p - before).max() < 1e-4:
+                break
         return p
 
+    def learn(self, v: np.ndarray, says: np.ndarray, weight: np.ndarray, p: np.ndarray) -> None:
+        """Prior, tables [class, vote, voter], correlations within the classes and shares."""
+        on, off = weight * p, weight * (1 - p)
+        self.prior = np.clip(on.sum() / weight.sum(), 1e-3, 1 - 1e-3)
+        self.table = np.stack([(np.einsum("i,lij->lj", m, says) + 0.1) / (m.sum() + 0.3) for m in (off, on)])
+        self.correlation = np.zeros((v.shape[1], v.shape[1]))
+        for m in (off, on):
+            mean = (m @ v) / max(m.sum(), 1e-9)
+            x = (v - mean) * np.sqrt(m)[:, None]
+            cov = x.T @ x
+            scale = np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+            self.correlation += np.divide(cov, scale, out=np.zeros_like(cov), where=scale > 1e-9) * (m.sum() / weight.sum())
+        tied = self.correlation - np.diag(np.diag(self.correlation))
+        self.share = 1 / (1 + np.where(tied > CORRELATED, tied, 0).sum(1))
+
+    def posterior(self, v: np.ndarray, without: tuple[int, ...] = ()) -> np.ndarray:
+        """The probability that each row is toxic by all voters but those of `without`."""
+        share = self.share.copy()
+        share[list(without)] = 0.0
+        odds = np.log(self.table[1]) - np.log(self.table[0])
+        said = np.where(v == 1, odds[0], np.where(v == -1, odds[2], odds[1]))
+        logit = np.log(self.prior / (1 - self.prior)) + said @ share
+        return np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1e-4, 1 - 1e-4)
+
 
 def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, centre: np.ndarray, ridge: float = 0.5, steps: int = 25) -> np.ndarray:
     """Weights and, last, the intercept: Newton steps with a ridge towards centre on all but the intercept."""
@@ -197,7 +221,8 @@ def fit(rows: list[tuple[str | None, bool, float]]) -> Toxicity:
     for i, (text, _, _) in enumerate(rows):
         x[i, lexicon.features(text)] = 1
     human, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    posterior = LabelModel().fit(votes(x > 0, lexicon), human, weight)
+    said = np.concatenate([votes(x > 0, lexicon), np.where(human, 1, -1).astype(np.int8)[:, None]], 1)
+    posterior = LabelModel().fit(said, weight)
     centre = prior_weights(lexicon)
     centre[-1] = 0.0
     return Toxicity(lexicon, logistic(x, posterior, weight, centre))
@@ -207,8 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Toxicity
     rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     rows = rows.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     size = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    sample = bounded_sample(rows, F.col("toxic"), per_class, [F.col("doc_id")], 4 * per_class)
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").limit(8 * per_class).select("doc_id", "text", "toxic").collect()
+    sample = bounded_sample(rows, F.col("toxic"), per_class, [F.col("doc_id")])
+    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # a row for each id of the sample, however often it stands in docs
+    got = got.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic").collect()
     got.sort(key=lambda r: (r[0], r[1] or ""))
     have = Counter(bool(r[2]) for r in got)
     unit = {bool(k): n / max(1, have[bool(k)]) for k, n in size.items()}
