@@ -87,18 +87,20 @@ g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM w,
 c AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM g) WHERE n > 1),
 r AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM c, (SELECT unnest([0, 1, 2]) AS j) z GROUP BY rid),
 b AS (SELECT d.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(list_filter(ws, lambda x: length(x) > 3 AND x = upper(x) AND x <> lower(x))) AS n_shouted
+coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, len(list_filter(ws, lambda x: length(x) > 3 AND x = upper(x) AND x <> lower(x))) AS n_shouted,
+length(t) - length(regexp_replace(t, '[\\x00-\\x08\\x0E-\\x1F\\x21-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g')) AS n_marks
 FROM d JOIN w ON d.rid = w.rid LEFT JOIN l ON d.rid = l.rid LEFT JOIN r ON d.rid = r.rid),
-x AS (SELECT *, [1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * n_shouted // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)] AS rates FROM b),
-v AS (SELECT rid, lang, source, m, rates[m]::BIGINT AS v FROM x, (SELECT unnest([1, 2, 3, 4, 5]) AS m) z),
-s AS (SELECT rid, lang, source, m, v, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)::BIGINT) << (length(bin(v)) - 6)::BIGINT END AS bin FROM v),
+x AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [1000 * n_marks // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), 1000 * n_shouted // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)] AS rates FROM b),
+v AS (SELECT rid, lang, source, base_failed, m, rates[m]::BIGINT AS v FROM x, (SELECT unnest([1, 2, 3, 4, 5]) AS m) z),
+s AS (SELECT lang, source, m, CASE WHEN v < 256 THEN v ELSE (v >> (length(bin(v)) - 8)::BIGINT) << (length(bin(v)) - 8)::BIGINT END AS bin FROM v WHERE NOT base_failed),
 u AS (SELECT lang, source, m, bin, count(*) AS n, 1 AS level FROM s GROUP BY ALL UNION ALL SELECT lang, NULL, m, bin, count(*), 2 FROM s GROUP BY ALL UNION ALL SELECT NULL, NULL, m, bin, count(*), 3 FROM s GROUP BY ALL),
 k AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, m) AS size FROM u),
 q AS (SELECT level, lang, source, m, max(size) AS size, min(bin) FILTER (WHERE upto * 4 >= size) AS q1, min(bin) FILTER (WHERE upto * 4 >= size * 3) AS q3 FROM k GROUP BY ALL),
-t AS (SELECT o.lang, o.source, o.m, greatest(CASE WHEN o.size >= 100 THEN o.q3 + 3 * (o.q3 - o.q1) WHEN l.size >= 100 THEN l.q3 + 3 * (l.q3 - l.q1) ELSE a.q3 + 3 * (a.q3 - a.q1) END, [200, 300, 200, 300, 12000][o.m]) AS lim
-FROM q o JOIN q l ON l.level = 2 AND l.m = o.m AND l.lang IS NOT DISTINCT FROM o.lang JOIN q a ON a.level = 3 AND a.m = o.m WHERE o.level = 1),
-f AS (SELECT v.rid, bool_or(v.v > t.lim) AS over FROM v JOIN t ON t.m = v.m AND t.lang IS NOT DISTINCT FROM v.lang AND t.source IS NOT DISTINCT FROM v.source GROUP BY v.rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT over AS kept FROM b JOIN f ON b.rid = f.rid"""
+e AS (SELECT level, lang, source, m, size, q1 - [NULL, NULL, NULL, NULL, 4][m] * greatest(q3 - q1, [1, 100, 100, 20, 1][m]) AS low, q3 + [10, 4, 4, 4, 4][m] * greatest(q3 - q1, [1, 100, 100, 20, 1][m]) AS high FROM q),
+t AS (SELECT o.lang, o.source, o.m, CASE WHEN o.size >= 100 THEN o.low WHEN l.size >= 100 THEN l.low ELSE a.low END AS low, CASE WHEN o.size >= 100 THEN o.high WHEN l.size >= 100 THEN l.high ELSE a.high END AS high
+FROM e o JOIN e l ON l.level = 2 AND l.m = o.m AND l.lang IS NOT DISTINCT FROM o.lang JOIN e a ON a.level = 3 AND a.m = o.m WHERE o.level = 1),
+f AS (SELECT v.rid, bool_or(coalesce(v.v > t.high, false) OR coalesce(v.v < t.low, false)) AS over FROM v LEFT JOIN t ON t.m = v.m AND t.lang IS NOT DISTINCT FROM v.lang AND t.source IS NOT DISTINCT FROM v.source GROUP BY v.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM x JOIN f ON x.rid = f.rid"""
 
 OP8_SQL = """WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 l AS (SELECT rid, i, a[i] AS line, translate(trim(a[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d, LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i) r),
