@@ -11,7 +11,8 @@ a zero there: only zero bits are flipped, which halves the look-ups and loses no
 there are. Before any shuffle of links each task reduces its own to a spanning forest.
 
 Nulls: null or wordless texts have fingerprint zero and link like any other. A null doc_id takes part in links but is no
-component id; a component without any id has a null one. Repeated rows give equal rows. An empty table gives an empty result.
+component id; a component without any id has a null one. Repeated rows give equal rows. A bit set in exactly half of the hashes is 0. An
+empty table gives an empty result. Very long texts are hashed whole. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,11 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import discard, stash
 
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -38,10 +47,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(hashes)
 
 
 @F.arrow_udf(T.LongType())
@@ -82,6 +88,12 @@ def hamming_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return found.select(F.col("q").alias("a"), F.col("fp").alias("b")).mapInArrow(forest, "a long, b long")
 
 
+def _print(edges: DataFrame) -> tuple:
+    """Count and two sums of hashes, which tell two sets of edges apart in one small aggregate."""
+    wide = [F.sum(F.xxhash64(F.lit(k), "u", "v").cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    return tuple(edges.agg(F.count(F.lit(1)), *wide).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b), component being its smallest node.
 
@@ -89,6 +101,7 @@ def components(links: DataFrame) -> DataFrame:
     a minimum per node, combined before its shuffle, and an equi-join whose hot keys adaptive execution splits.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
+    print_ = _print(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -97,9 +110,10 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         after = stash(small.filter("u > v").distinct(), "links")
-        same = after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty()
+        print_, before = _print(after), print_
+        discard(edges)
         edges = after
-        if same:
+        if print_ == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -107,12 +121,15 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fp (signed long), component_id for every document."""
     prints = stash(docs.select("doc_id", fingerprint_of("text").alias("fp")), "fingerprints")
-    reps = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    reps = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     member = stash(components(hamming_links(reps.select("fp"), radius)), "components")
     smallest = member.join(reps, member.node == reps.fp).groupBy("component").agg(F.min("rep").alias("least"))
     linked = member.join(smallest, "component").select(F.col("node"), "least")
-    ids = reps.join(linked, reps.fp == linked.node, "left").select("fp", F.when(F.col("node").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    found = F.when(F.col("node").isNotNull(), F.col("least")).otherwise(F.col("rep"))
+    ids = stash(reps.join(linked, reps.fp == linked.node, "left").select("fp", "n", found.alias("component_id")), "fingerprint-components")
+    hot = F.broadcast(ids.filter(F.col("n") > (ids.agg(F.sum("n")).first()[0] or 0) / 1000).select("fp", "component_id"))  # under 1,000 rows at any size
+    rest = prints.join(hot, "fp", "left_anti").join(ids.select("fp", "component_id"), "fp")
+    return prints.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str):
