@@ -8,12 +8,15 @@ lose all their lines; the other lines stay as they are, joined by line feeds.
 2. The distinct keys are dealt to shards of about `shard_keys` keys. A shard becomes one row of three compact arrays: a minimal
    perfect hash (a cascade of bit arrays: a key takes the first level where no other key of the shard has its bit), the keys' 32-bit
    fingerprints, and their document counts.
-3. Documents' keys probe the shard that owns them; only hits come back. A key may stand in a third of all documents: keys with
-   over 1/10,000 of all probes, of which there are 10,000 at most, go to every task instead, and the rest are even.
+3. Documents' keys probe the shard that owns them; only hits come back. A shard is probed by about `shard_rows` rows at any size of
+   corpus: there are enough shards for that, and keys of many documents don't take this way. They are known to be lost: keys with over
+   1/10,000 of all probes, or over `shard_rows`. They are counted, and go to every task if there are 200,000 (3 MB) or fewer, else
+   by a join whose hot keys adaptive execution splits.
 4. Each document meets the keys it loses, and drops its lines.
 
 Documents are rows: two rows with one doc_id count twice. A null doc_id is handled like any other. Repeated rows give
-repeated results. An empty table gives an empty result.
+repeated results. Ties: a key found in exactly min_docs documents is lost. An empty table gives an empty result. Very long texts are split
+whole. All columns of docs are kept in a struct, so that their names may be any.
 """
 
 from __future__ import annotations
@@ -174,29 +177,34 @@ def without_lines(texts: pa.Array, lost: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[f.name for f in KEPT.fields])
 
 
-def common_keys(keys: DataFrame, min_docs: int, shard_keys: int) -> DataFrame:
+def common_keys(keys: DataFrame, min_docs: int, shard_keys: int, shard_rows: int, most_sent: int = 200_000) -> DataFrame:
     """keys (way, a, b), a row for each document and key: those rows whose key has min_docs documents or more."""
     counts = stash(keys.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "line-counts")
-    total = counts.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("probes")).first()
-    heavy_from = max(total["probes"] // 10_000, min_docs, 1)
-    heavy = F.broadcast(counts.filter(F.col("n") > heavy_from).select("a", "b"))  # 10,000 rows at most
-    shards = max(1, -(-total["keys"] // shard_keys))
+    zero = F.lit(0).cast("long")
+    hot = F.when(F.col("n") > max(shard_rows, min_docs), 1)
+    total = counts.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), zero).alias("probes"), F.count(hot).alias("hot")).first()
+    heavy_from = min(max(total["probes"] // 10_000, min_docs, 1), max(shard_rows, min_docs))
+    heavy = counts.filter(F.col("n") > heavy_from).select("a", "b")
+    if heavy_from < shard_rows or total["hot"] <= most_sent:  # 10,000 rows at most, or counted
+        heavy = F.broadcast(heavy)
+    shards = max(1, -(-total["keys"] // shard_keys), -(-total["probes"] // shard_rows))
     shard = F.pmod(F.xxhash64("a", "b"), F.lit(shards)).alias("shard")
-    arrays = stash(counts.select("a", "b", "n", shard).groupBy("shard").applyInArrow(_shard_of_group, SHARD), "line-shards")
+    light = counts.filter(F.col("n") <= heavy_from)
+    arrays = stash(light.select("a", "b", "n", shard).groupBy("shard").applyInArrow(_shard_of_group, SHARD), "line-shards")
     rest = keys.join(heavy, ["a", "b"], "left_anti").select("way", "a", "b", shard)
     hits = rest.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(_probe(min_docs), "way long, a long, b long")
     return hits.unionByName(keys.join(heavy, ["a", "b"], "left_semi").select("way", "a", "b"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, shard_keys: int = 8192) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, shard_keys: int = 8192, shard_rows: int = 250_000) -> DataFrame:
     """`row`: a struct of docs' columns as they are, and `kept`: struct(text, n_lines, n_dropped, sha256) of what stays.
 
     `way` only brings lost keys to their rows: rows that share one get the union, which is right, as a lost key is lost everywhere.
     """
     way = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     keys = stash(docs.select(way.alias("way"), "text").mapInArrow(_keys_of, "way long, a long, b long"), "line-keys")
-    hits = common_keys(keys, min_docs, shard_keys)
+    hits = common_keys(keys, min_docs, shard_keys, shard_rows)
     lost = hits.distinct().groupBy("way").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    whole = docs.select(way.alias("to"), F.struct(*docs.columns).alias("row"))
+    whole = docs.select(way.alias("to"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return whole.join(lost, whole["to"] == lost["way"], "left").select("row", without_lines("row.text", "lost").alias("kept"))
 
