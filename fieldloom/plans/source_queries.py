@@ -140,11 +140,11 @@ def seeded_sample(t):
     return stagelog.sample(t("customer").select("c_custkey", "c_name"), "c_custkey", 50)
 
 
-@query("SELECT 'nations' AS kind, count(*) AS n, list_sort(list(n_name)) AS names FROM nation")
+@query("SELECT 'nations' AS kind, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation")
 def json_document(t):
     path = t.folder("document")
     sinks.write_json(t("nation").agg(F.lit("nations").alias("kind"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("n_name")).alias("names")), path)
-    return ingest.read_json_document(t.spark, path, "kind string, n long, names array<string>")
+    return ingest.read_json_document(t.spark, path, "kind string, n long, names array<string>").withColumn("names", F.array_join("names", ","))
 
 
 CONTRAST = """cl AS (SELECT p_partkey || '.jpg' AS filename, CASE WHEN p_partkey % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN p_partkey % 7 = 0 THEN 'bad, "file"' END AS reason, p_size::DOUBLE AS before, p_size + 0.5::DOUBLE AS after, (p_partkey % 20) / 100.0::DOUBLE AS low, (p_partkey % 13) / 100.0::DOUBLE AS high FROM part)"""
@@ -231,15 +231,15 @@ def directory_scan(t):
     return ingest.list_files(t.spark, path).select("filename", "length").join(some, "filename", "left").na.fill(False, ["image"])
 
 
-@query(f"WITH {PICTURES} SELECT filename, ({_BYTES})::BIGINT AS bytes, CASE WHEN good THEN 'PPM' END AS format, CASE WHEN good THEN CASE WHEN grey THEN 'L' ELSE 'RGB' END END AS mode, CASE WHEN good THEN w END AS width, CASE WHEN good THEN h END AS height, good AS is_valid FROM p")
+@query(f"WITH {PICTURES} SELECT filename, ({_BYTES})::BIGINT AS bytes, CASE WHEN good THEN 'PPM' END AS format, CASE WHEN good THEN CASE WHEN grey THEN 'L' ELSE 'RGB' END END AS mode, CASE WHEN good THEN w ELSE 0 END AS width, CASE WHEN good THEN h ELSE 0 END AS height, good AS is_valid FROM p")
 def image_inventory(t):
-    return images.inventory(_pictures(t)[0]).select("filename", "bytes", "format", "mode", "width", "height", "is_valid")
+    return images.inventory(_pictures(t)[0]).select("filename", "bytes", "format", "mode", "width", "height", "is_valid").na.fill(0, ["width", "height"])
 
 
-@query(f"WITH {PICTURES} SELECT filename, CASE WHEN good THEN 'ok' ELSE 'failed' END AS status, CASE WHEN good THEN h END AS height, CASE WHEN good THEN w END AS width, CASE WHEN good THEN 3 END AS channels FROM p")
+@query(f"WITH {PICTURES} SELECT filename, CASE WHEN good THEN 'ok' ELSE 'failed' END AS status, CASE WHEN good THEN h ELSE 0 END AS height, CASE WHEN good THEN w ELSE 0 END AS width, CASE WHEN good THEN 3 ELSE 0 END AS channels FROM p")
 def image_load_log(t):
     """A row for each file; one that can't be decoded fails alone."""
-    return images.load_images(_pictures(t)[0]).select("filename", "status", "height", "width", "channels")
+    return images.load_images(_pictures(t)[0]).select("filename", "status", "height", "width", "channels").na.fill(0)
 
 
 @query(f"WITH {PICTURES} SELECT filename, w AS original_width, greatest(round_even(w * f, 0), 1)::INTEGER AS final_width, greatest(round_even(h * f, 0), 1)::INTEGER AS final_height, w > 100 AS downscaled, w < 60 AS very_low_res FROM s WHERE good")
