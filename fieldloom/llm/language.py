@@ -9,9 +9,14 @@ Forward-backward gives each word's probabilities; a text's language has the larg
 equals), its score is that sum's share. All lines of a batch advance together, the longest first, so a batch costs as many steps as its
 longest line has words.
 
-Training takes about `per_language` texts of each language at most (a documented bound; chosen by a hash of doc_id). Nulls: null texts
-and texts without a letter are `und` with score 0; rows with null lang aren't learnt from. Repeated rows give equal rows. Without
-training rows every text is `und`.
+Code-switched text: `runs` gives the words' labels, each the most probable of its word: language, first word, number of words.
+
+Training takes about `per_language` texts of each language at most, of those under `long_text` characters (documented bounds; chosen by a
+hash of doc_id); a language that has longer ones only is learnt from the shortest of them. Letters are Unicode's; marks belong to
+the letter before them, so words of scripts with vowel signs stay whole. Nulls: null texts and texts without a letter are `und` with
+score 0 and no runs; rows with null lang aren't learnt from. Ties: the first language by name. Repeated rows give equal rows. An empty
+table gives an empty result; without training rows every text is `und`. Very long texts are read whole. Other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
@@ -25,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold
+from .common import bounded_sample, char_class, fold
 
 FOLDS, HELD_OUT = 4, 2
-WORD = re.compile(r"[^\W\d_]+")
+LETTER = char_class("L")
+WORD = re.compile(f"[{LETTER}][{LETTER}{char_class('M')}]*")
 TYPES_KEPT = 250_000
 
 
@@ -146,9 +152,9 @@ class WordField:
         gamma = forward_backward(self.word_scores(words), Steps(np.array([len(x) for x in lines])), self.transition, self.start)[0]
         return [(w, dict(zip(self.languages, map(float, g), strict=True))) for w, g in zip(words, gamma, strict=True)]
 
-    def predict(self, texts: list[str | None], chunk: int = 2_000_000) -> tuple[list[str], list[float]]:
-        """Languages and scores; texts go in groups of about `chunk` characters, each text whole."""
-        names, shares, at = [], [], 0
+    def predict(self, texts: list[str | None], chunk: int = 2_000_000) -> tuple[list[str], list[float], list[list[tuple[str, int, int]]]]:
+        """Languages, scores and runs; texts go in groups of about `chunk` characters, each text whole."""
+        names, shares, runs, at = [], [], [], 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= chunk):
@@ -169,11 +175,19 @@ class WordField:
                 best = mass.argmax(1)
                 names += [self.languages[b] if t > 0 else "und" for b, t in zip(best, total, strict=True)]
                 shares += [float(mass[i, b] / total[i]) if total[i] > 0 else 0.0 for i, b in enumerate(best)]
+                labels, begin = gamma.argmax(1), np.searchsorted(doc, np.arange(end - at))
+                heads = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]))
+                sizes = np.diff(np.append(heads, len(labels)))
+                found: list[list[tuple[str, int, int]]] = [[] for _ in range(end - at)]
+                for d, label, first, n in zip(doc[heads].tolist(), labels[heads].tolist(), (heads - begin[doc[heads]]).tolist(), sizes.tolist(), strict=True):
+                    found[d].append((self.languages[label], first, n))
+                runs += found
             else:
                 names += ["und"] * (end - at)
                 shares += [0.0] * (end - at)
+                runs += [[] for _ in range(end - at)]
             at = end
-        return names, shares
+        return names, shares, runs
 
 
 def fit(rows: list[tuple[str | None, str]], rounds: int = 24, rate: float = 0.25, ridge: float = 1e-6) -> WordField:
@@ -225,26 +239,33 @@ def fit(rows: list[tuple[str | None, str]], rounds: int = 24, rate: float = 0.25
     return WordField(languages, vocabulary, emission, transition, start)
 
 
-def train(docs: DataFrame, per_language: int = 150, at_most: int = 4000) -> WordField:
+def train(docs: DataFrame, per_language: int = 150, long_text: int = 50_000) -> WordField:
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    got = bounded_sample(rows, F.col("lang"), per_language, [F.col("doc_id")], at_most).collect()
+    got = bounded_sample(rows.filter(F.length("text") < long_text), F.col("lang"), per_language, [F.col("doc_id")]).collect()
+    missing = rows.groupBy("lang").agg(F.min(F.length("text")).alias("n")).filter(F.col("n") >= long_text)  # a row a language
+    rest = rows.withColumn("n", F.length("text")).join(F.broadcast(missing), ["lang", "n"]).groupBy("lang").agg(F.min_by(F.struct("doc_id", "text"), F.xxhash64("text")).alias("r")).select("r.*", "lang")
+    got += rest.collect()
     got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     return fit([(r["text"], r["lang"]) for r in got])
 
 
-FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+RUN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType())])
+FOUND = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("runs", T.ArrayType(RUN))])
+RUNS = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("n", pa.int64())]))
 
 
 def predictor(field: WordField):
     @F.arrow_udf(FOUND)
     def predict(texts: pa.Array) -> pa.Array:
-        names, shares = field.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["lang_pred", "score"])
+        names, shares, runs = field.predict(texts.to_pylist())
+        rows = [[{"lang": a, "first": b, "n": c} for a, b, c in some] for some in runs]
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(rows, RUNS)], names=["lang_pred", "score", "runs"])
 
     return predict
 
 
 def languages(docs: DataFrame, per_language: int = 150) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, runs."""
     field = train(docs, per_language)
     out = docs.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), predictor(field)("text").alias("r"))
     return out.select("doc_id", "held_out", "r.*")
