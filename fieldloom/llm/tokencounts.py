@@ -6,13 +6,16 @@ A token that crosses a boundary is allotted by rule: `majority` (the section wit
 of equals), `start` (the section of its first byte) or `share` (each section in proportion to bytes). Bytes outside all sections
 count as unattributed. By default sections are lines, each with its line feed, so they cover the text.
 
-Nulls: null and empty texts have no tokens; null sections count as none. Empty or repeated sections are allowed; where sections overlap,
-the one that begins last before a byte holds it. Very long texts are encoded whole.
+Nulls: null and empty texts have no tokens; null sections are the lines, null bounds count as 0. Empty sections hold nothing.
+Where sections overlap or nest, a byte belongs to the one that begins last among those that hold it, of equal ones to the last in the
+list; so an inner field has its own tokens and the outer section what is left. Repeated rows give equal rows. An empty table gives an
+empty result. Very long texts are encoded whole. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 
 import numpy as np
@@ -52,37 +55,52 @@ def line_sections(text: bytes) -> np.ndarray:
     return np.stack([cuts[:-1], cuts[1:]], 1) if len(text) else np.zeros((0, 2), np.int64)
 
 
+def owners(sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, owner from each place to the next), the first place being 0; -1 where no section is."""
+    full = np.flatnonzero(sections[:, 0] < sections[:, 1])
+    order = full[np.argsort(sections[full, 0], kind="stable")]
+    begins, ends = sections[order, 0], sections[order, 1]
+    if not len(order):
+        return np.zeros(1, np.int64), np.full(1, -1)
+    if (ends[:-1] <= begins[1:]).all():  # side by side, such as lines
+        places = np.stack([begins, ends], 1).ravel()
+        who = np.stack([order, np.full(len(order), -1)], 1).ravel()
+        used = np.append(places[1:] > places[:-1], True)
+        places, who = places[used], who[used]
+    else:
+        places = np.unique(np.concatenate([begins, ends]))
+        who, at, open_ = np.full(len(places), -1), 0, []
+        for k, place in enumerate(places.tolist()):
+            while at < len(order) and begins[at] <= place:
+                heapq.heappush(open_, (-int(begins[at]), -int(order[at]), int(ends[at])))
+                at += 1
+            while open_ and open_[0][2] <= place:
+                heapq.heappop(open_)
+            who[k] = -open_[0][1] if open_ else -1
+    places, who = np.concatenate([[0], places]), np.concatenate([[-1], who])
+    keep = np.concatenate([[True], (who[1:] != who[:-1])])
+    return places[keep], who[keep]
+
+
 def attribute(bounds: np.ndarray, sections: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, float, int]:
     """Tokens per section, tokens in none, and how many crossed a boundary. bounds: token ends with 0 in front; sections: (begin, end)."""
-    counts = np.zeros(len(sections))
     n = len(bounds) - 1
     if not n or not len(sections):
-        return counts, float(n), 0
-    order = np.lexsort((np.arange(len(sections)), sections[:, 0]))
-    begins, ends = sections[order, 0], sections[order, 1]
-
-    def owner(byte: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(begins, byte, "right") - 1
-        inside = (at >= 0) & (byte < ends[at])
-        return np.where(inside, at, -1)
-
-    first, last = owner(bounds[:-1]), owner(bounds[1:] - 1)
-    within = np.searchsorted(begins, bounds[1:] - 1, "right") == np.searchsorted(begins, bounds[:-1], "right")
-    whole = (first == last) & within
-    if rule == "start":
-        whole = np.ones(n, bool)
-    got = np.bincount(first[whole] + 1, minlength=len(sections) + 1).astype(float)
-    crossing = np.flatnonzero(~((first == last) & within))
+        return np.zeros(len(sections)), float(n), 0
+    places, who = owners(sections)
+    first, last = (np.searchsorted(places, x, "right") - 1 for x in (bounds[:-1], bounds[1:] - 1))
+    crossing = np.flatnonzero(first != last)
+    whole = np.ones(n, bool) if rule == "start" else first == last
+    got = np.bincount(who[first[whole]] + 1, minlength=len(sections) + 1).astype(float)
     if rule != "start":
         for t in crossing:
-            held = owner(np.arange(bounds[t], bounds[t + 1]))
-            who, where, size = np.unique(held, return_index=True, return_counts=True)
+            held = who[np.searchsorted(places, np.arange(bounds[t], bounds[t + 1]), "right") - 1]
+            who_, where, size = np.unique(held, return_index=True, return_counts=True)
             if rule == "share":
-                got[who + 1] += size / size.sum()
+                got[who_ + 1] += size / size.sum()
             else:
-                got[who[np.lexsort((where, -size))[0]] + 1] += 1
-    counts[order] = got[1:]
-    return counts, float(got[0]), len(crossing)
+                got[who_[np.lexsort((where, -size))[0]] + 1] += 1
+    return got[1:], float(got[0]), len(crossing)
 
 
 _LOADED: dict[int, Encoder] = {}
@@ -118,7 +136,7 @@ def counter(vocabulary: str | None = None, rule: str = "majority"):
             else:
                 starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
                 at = np.concatenate([starts, [len(data)]])
-                cuts = at[np.clip(np.array([[s["begin"], s["end"]] for s in spans], np.int64).reshape(-1, 2), 0, len(starts))]
+                cuts = at[np.clip(np.array([[s["begin"] or 0, s["end"] or 0] if s else [0, 0] for s in spans], np.int64).reshape(-1, 2), 0, len(starts))]
             bounds = encoder.spans(text)
             counts, rest, crossing = attribute(bounds, cuts, rule)
             rows.append((len(bounds) - 1, len(cuts), crossing, rest, counts))
