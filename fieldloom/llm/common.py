@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..shared import discard, shared_dir, stash
 
-__all__ = ["ASCII_SPACE", "bounded_sample", "char_class", "discard", "fold", "shared_dir", "spread", "stash"]
+__all__ = ["ASCII_SPACE", "bounded_sample", "char_class", "discard", "fold", "shared_dir", "spread", "stash", "text_key"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -19,6 +19,12 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % parts
 
 
+def text_key(text: str | Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return [F.xxhash64(whole).alias("__k1"), F.xxhash64(F.lit(1), whole).alias("__k2")]
+
+
 def spread(*cols: Column) -> Column:
     """A value in [0, 1) that depends on cols only."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)

@@ -37,11 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stash
+from .common import discard, stash, text_key
 from .simhash import components, forest, hamming_links, majority
 
 BLOCK = 4096
@@ -77,12 +77,6 @@ def features_of(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([*columns, prints], names=["shingles", "n", "parity", "fp"])
 
 
-def text_key(text: str | Column) -> list[Column]:
-    """128 bits that stand for a text."""
-    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return [F.xxhash64(whole).alias("__k1"), F.xxhash64(F.lit(1), whole).alias("__k2")]
-
-
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, id) sorted by key -> pairs (a, b) of each row with the one before it and with the first one of its key."""
     key, before, first = None, 0, 0
