@@ -8,7 +8,7 @@ Linking. The 64 bits form two 32-bit segments. If two fingerprints differ in at
 segments differs in at most one, so each fingerprint looks up the Hamming ball of radius 1 of each segment in the
 table of segments and verifies whole distances in the join's condition. Of two segments that differ in one bit, one has
 a zero there: only zero bits are flipped, which halves the look-ups and loses no pair. Copies are one row of this table, however many
-there are. Before any shuffle of links each task reduces its own to a spanning forest.
+there are; values of a segment that very many fingerprints share are looked up with a byte of the other segment. Before any shuffle of links each task reduces its own to a spanning forest.
 
 Nulls: null or wordless texts have fingerprint zero and link like any other. A null doc_id takes part in links but is no
 component id; a component without any id has a null one. Repeated rows give equal rows. A bit set in exactly half of the hashes is 0. An
@@ -74,18 +74,34 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([r for _, r in links], pa.int64())], names=["a", "b"])
 
 
-def hamming_links(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """prints: distinct column fp. Pairs (a, b) whose fingerprints differ in at most radius bits, thinned to forests that connect the same."""
+def hamming_links(prints: DataFrame, radius: int = 3, crowd: int = 1000) -> DataFrame:
+    """prints: distinct column fp. Pairs (a, b) whose fingerprints differ in at most radius bits, thinned to forests that connect the same.
+
+    A segment's value that over `crowd` fingerprints share is looked up together with each byte of the other segment: that one differs in at
+    most three bits, so one of its four bytes is equal. Such values number under 2 / crowd of the fingerprints; they are counted, and go to every
+    task up to 100,000 of them, else by a join.
+    """
     if radius > 3:
         raise ValueError("two segments with balls of radius 1 find pairs at 3 or fewer bits only")
     low = F.lit(0xFFFFFFFF)
-    segments = F.array(F.struct(F.lit(0).alias("seg"), F.col("fp").bitwiseAND(low).alias("v")), F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned("fp", 32).alias("v")))
-    table = prints.select("fp", F.explode(segments).alias("s")).select("fp", "s.seg", "s.v")
+    right, left = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 32)
+    segments = F.array(F.struct(F.lit(0).alias("seg"), right.alias("v"), left.alias("w")), F.struct(F.lit(1).alias("seg"), left.alias("v"), right.alias("w")))
+    table = prints.select("fp", F.explode(segments).alias("s")).select("fp", "s.*")
     flips = F.array(*[F.lit(1 << i) for i in range(32)])
     ball = F.concat(F.array(F.lit(0)), F.filter(flips, lambda m: F.col("v").bitwiseAND(m) == 0))
-    probes = table.select(F.col("fp").alias("q"), "seg", F.explode(ball).alias("m"), "v").select("q", "seg", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
-    found = probes.join(table, ["seg", "v"]).filter((F.col("q") != F.col("fp")) & (F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= radius))
-    return found.select(F.col("q").alias("a"), F.col("fp").alias("b")).mapInArrow(forest, "a long, b long")
+    probes = table.select("fp", "seg", "w", F.explode(ball).alias("m"), "v").select("fp", "seg", "w", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
+    crowds = stash(table.groupBy("seg", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("seg", "v", F.lit(True).alias("crowded")), "crowds")
+    if crowds.limit(100_001).count() <= 100_000:
+        crowds = F.broadcast(crowds)
+    bytes_ = F.array(*[F.shiftright("w", 8 * i).bitwiseAND(F.lit(255)) + 256 * i for i in range(4)])
+
+    def placed(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(crowds, ["seg", "v"], "left")
+        return rows.select(F.col("fp").alias(name), "seg", "v", F.explode(F.when(F.col("crowded"), bytes_).otherwise(F.array(F.lit(-1).cast("long")))).alias("part"))
+
+    # sizes after an explode are guessed too low: the hint keeps the table from being broadcast
+    found = placed(probes, "a").join(placed(table, "b").hint("merge"), ["seg", "v", "part"]).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    return found.select("a", "b").mapInArrow(forest, "a long, b long")
 
 
 def _print(edges: DataFrame) -> tuple:
