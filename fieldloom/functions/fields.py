@@ -19,24 +19,38 @@ def _longest(found: Column) -> Column:
     return F.coalesce(F.array_max(ranked)["x"], F.lit(""))
 
 
+def normalized_lines(c: Column | str) -> Column:
+    return F.transform(lines(c), lambda x: normalize_text(x))
+
+
+def name_of(norm: Column) -> Column:
+    """The longest of normalised lines without a digit that is no stopword."""
+    return _longest(F.filter(norm, lambda x: (x != "") & ~x.isin(*STOPWORDS) & ~x.rlike(r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}-\x{2089}]")))
+
+
 def extract_name(c: Column | str) -> Column:
     """The longest line without a digit that is no stopword."""
-    norm = F.transform(lines(c), lambda x: normalize_text(x))
-    return _longest(F.filter(norm, lambda x: (x != "") & ~x.isin(*STOPWORDS) & ~x.rlike(r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}-\x{2089}]")))
+    return name_of(normalized_lines(c))
 
 
 def has_keyword(upper: Column) -> Column:
     return upper.rlike("|".join(ADDRESS_KEYWORDS))
 
 
+def address_of(norm: Column) -> Column:
+    """The longest of normalised lines with an address keyword or a run of four or five digits."""
+    return _longest(F.filter(norm, lambda x: (x != "") & (has_keyword(x) | x.rlike(POSTCODE))))
+
+
 def extract_address(c: Column | str) -> Column:
     """The longest line with an address keyword or a run of four or five digits."""
-    norm = F.transform(lines(c), lambda x: normalize_text(x))
-    return _longest(F.filter(norm, lambda x: (x != "") & (has_keyword(x) | x.rlike(POSTCODE))))
+    return address_of(normalized_lines(c))
 
 
 def parse_fields(c: Column | str, as_of_year: int | None = None) -> Column:
-    return F.struct(extract_name(c).alias("name"), extract_date(c, as_of_year).alias("birth_date"), extract_address(c).alias("address"))
+    """Lines are normalised once for name and address."""
+    both = let(normalized_lines(c), lambda n: F.struct(name_of(n).alias("name"), address_of(n).alias("address")))
+    return F.struct(both["name"].alias("name"), extract_date(c, as_of_year).alias("birth_date"), both["address"].alias("address"))
 
 
 def is_stopword(c: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.dates import extract_date
-from ..functions.fields import extract_address, extract_name, label_block, near_stopword
+from ..functions.fields import address_of, label_block, name_of, near_stopword, normalized_lines
 from ..functions.text import character_error_rate, compact_text, normalize_text, normalized_edit_distance, tokens, word_error_rate
 from ..functions.vocabulary import ADDRESS_KEYWORDS, STOPWORDS
 from ..operators import blocks as B
@@ -195,7 +195,8 @@ nm AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY leng
 ad AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, block_idx) AS k FROM n WHERE line <> '' AND (regexp_matches(line, '{"|".join(ADDRESS_KEYWORDS)}') OR regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])\\d{{4,5}}($|[^\\p{{L}}\\p{{N}}_])')))
 SELECT d.doc_id, coalesce(nm.line, '') AS name, coalesce(ad.line, '') AS address FROM documents d LEFT JOIN nm ON d.doc_id = nm.doc_id AND nm.k = 1 LEFT JOIN ad ON d.doc_id = ad.doc_id AND ad.k = 1""")
 def field_heuristics(t):
-    return t("documents").select("doc_id", extract_name("text").alias("name"), extract_address("text").alias("address"))
+    norm = t("documents").select("doc_id", normalized_lines("text").alias("norm"))  # normalised once for both
+    return norm.select("doc_id", name_of(F.col("norm")).alias("name"), address_of(F.col("norm")).alias("address"))
 
 
 @query(f"""WITH w AS (SELECT p_partkey, list_distinct(string_split({norm('p_name')}, ' ')) AS own, list_distinct(string_split({norm('p_type')}, ' ')) AS a, list_distinct(string_split({norm("p_name || ' ' || p_brand")}, ' ')) AS b FROM part),
