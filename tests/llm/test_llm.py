@@ -17,20 +17,21 @@ from fieldloom.llm import decontam, language, licenses, linededup, pieces, quali
 
 DATA = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, score string, lines string, id string"
+CLASHES = ["fingerprint", "score", "lines", "id", "ids", "predicted", "kept", "row", "way", "__row", "runs", "n_tokens", "spans", "item", "labels", "group", "round_trip", "a.b"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 LONG = "word " * 30000 + "end"
 ODD = [None, "", " ", "\n\n", "a", "A b", "▁x", "日本語 text", "tab\tand\x0bvt", LONG, "Ünï cödé", "x" * 50000]
 
 
 def docs(spark, texts, langs=None):
-    rows = [(i, t, (langs or {}).get(i, "en"), None if i % 3 else "s", 1, "f", "s", "l", "i") for i, t in enumerate(texts)]
+    rows = [(i, t, (langs or {}).get(i, "en"), None if i % 3 else "s", 1, *CLASHES) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
 def odd(spark):
     """Awkward texts, one of them twice with the same id, and a null id."""
-    rows = [(i, t, None, None, None, "f", "s", "l", "i") for i, t in enumerate(ODD)]
-    return spark.createDataFrame([*rows, rows[5], (None, "no id", "en", "s", 1, "f", "s", "l", "i")], DOCS)
+    rows = [(i, t, None, None, None, *CLASHES) for i, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[5], (None, "no id", "en", "s", 1, *CLASHES)], DOCS)
 
 
 def table(name):
@@ -67,8 +68,44 @@ def test_label_model_discounts_copies_of_a_voter():
     weak, strong = vote(0.6), vote(0.85)
     v = np.stack([weak, weak, weak, weak, strong, vote(0.85)], 1).astype(np.int8)
     model = toxicity.LabelModel()
-    p = model.fit(v, y, np.ones(2000))
-    assert model.share[0] < 0.4 < model.share[4] and ((p > 0.5) == y).mean() > 0.9
+    p = model.fit(v, np.ones(2000))
+    assert model.share[0] < 0.4 < model.share[4] and ((p > 0.5) == y).mean() > 0.8
+    assert model.share[5] < 1.01 and ((model.posterior(v, without=(5,)) > 0.5) == y).mean() > 0.8
+
+
+def test_label_model_against_plain_expectation_maximisation():
+    """Row by row and voter by voter, with the same tables, correlations and rule of discounts."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-1, 2, (60, 4)).astype(np.int8)
+    v[:, 3] = v[:, 2]
+    weight = rng.random(60) + 0.5
+    p = [0.5 + 0.45 * r[-1] for r in v]
+    for n in range(3):
+        mass = [[w * (1 - q) for w, q in zip(weight, p)], [w * q for w, q in zip(weight, p)]]
+        prior = sum(mass[1]) / sum(weight)
+        rate = lambda c, x, j: (sum(m for m, r in zip(mass[c], v) if r[j] == x) + 0.1) / (sum(mass[c]) + 0.3)  # noqa: B023, E731
+        share = []
+        for j in range(4):
+            tied = 0.0
+            for k in range(4):
+                both = 0.0
+                for m in mass:
+                    mj, mk = (sum(x * r[i] for x, r in zip(m, v)) / sum(m) for i in (j, k))
+                    cov = sum(x * (r[j] - mj) * (r[k] - mk) for x, r in zip(m, v))
+                    var = [sum(x * (r[i] - y) ** 2 for x, r in zip(m, v)) for i, y in ((j, mj), (k, mk))]
+                    both += cov / (var[0] * var[1]) ** 0.5 * sum(m) / sum(weight)
+                tied += both if k != j and both > toxicity.CORRELATED else 0
+            share.append(1 / (1 + tied) if n else 1.0)
+        new = []
+        for r in v:
+            logit = np.log(prior / (1 - prior)) + sum(share[j] * np.log(rate(1, x, j) / rate(0, x, j)) for j, x in enumerate(r))
+            new.append(min(max(1 / (1 + np.exp(-logit)), 1e-4), 1 - 1e-4))
+        p = new
+    model = toxicity.LabelModel()
+    got = model.fit(v, weight, rounds=3)
+    assert np.allclose(got, p) and np.allclose(model.share, share) and model.share[3] < 0.6
+    left_out = model.posterior(v, without=(0,))
+    assert np.allclose(left_out, model.posterior(np.concatenate([np.zeros((60, 1), np.int8), v[:, 1:]], 1), without=(0,)))
 
 
 def test_toxicity_odd_inputs(spark):
@@ -97,8 +134,18 @@ def test_toxicity_query(spark):
 
     out = {r["doc_id"]: r for r in queries()["op1_toxicity"](spark, DATA).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in out.items())
-    truth = {r["doc_id"]: r["toxic"] for r in table("labels")}
-    assert sum(out[i]["predicted"] == t for i, t in truth.items()) >= 0.9 * len(truth)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out.values())
+
+
+@here
+def test_toxicity_of_held_out_rows(spark):
+    """Of 97 toxic and 728 clean rows that nothing was learnt from; always answering 0 would find none."""
+    from fieldloom.llm.queries import queries
+
+    big = "/root/testdata/sf0.1"
+    out = queries()["op1_toxicity"](spark, big).filter("held_out").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").collect()
+    hit = sum(r["predicted"] and r["toxic"] for r in out)
+    assert hit >= 0.85 * sum(r["toxic"] for r in out) and hit >= 0.95 * sum(r["predicted"] for r in out)
 
 
 # Quality
@@ -130,7 +177,7 @@ def test_sketch_merges_and_bounds_error(spark):
     values = [random.Random(4).randrange(100000) for _ in range(3000)]
     df = spark.createDataFrame([(v,) for v in values], "v long").withColumn("bin", quality.bin_of(F.col("v")))
     bins = {r["v"]: r["bin"] for r in df.collect()}
-    assert all(b <= v and v - b <= v / 32 for v, b in bins.items())
+    assert all(b <= v and v - b <= v / 128 for v, b in bins.items())
     base = spark.createDataFrame([(str(v % 3), str(v % 2), v) for v in values], "lang string, source string, length_rate long")
     for r in quality.RATES:
         base = base if r in base.columns else base.withColumn(r, F.lit(0).cast("long"))
@@ -139,6 +186,41 @@ def test_sketch_merges_and_bounds_error(spark):
     assert fine.exceptAll(whole.select(fine.columns)).count() == 0 and whole.count() == fine.count()
 
 
+def varied(n, marks, tail, seed, i0=0):
+    """Texts of 80 words with about `marks` marks in each, and two with `tail` marks."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        ws = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 8))) for _ in range(80)]
+        for k in rng.sample(range(80), tail if i < 2 else max(0, marks + rng.randrange(-2, 3))):
+            ws[k] += ";"
+        texts.append(" ".join(ws))
+    return texts
+
+
+@pytest.mark.parametrize("size", [99, 100, 400])
+def test_limits_follow_the_group(spark, size):
+    """The same share of marks is usual in one source and an outlier in another; small groups take their language's limits."""
+    rows = [("en", "plain", t) for t in varied(size, 4, 40, 1)] + [("en", "marked", t) for t in varied(400, 40, 40, 2)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    out = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    whole = sorted(quality_bin(r["mark_rate"]) for r in out.values())
+    for source, ids in (("plain", range(size)), ("marked", range(size, size + 400))):
+        own = sorted(quality_bin(out[i]["mark_rate"]) for i in ids)
+        if len(own) < 100:
+            own = whole
+        q1, q3 = own[-(-len(own) // 4) - 1], own[-(-3 * len(own) // 4) - 1]
+        assert {out[i]["mark_rate_high"] for i in ids} == {q3 + 10 * max(q3 - q1, 1)}, source
+        assert all(out[i]["kept"] == (out[i]["mark_rate"] <= out[i]["mark_rate_high"]) for i in ids)
+    alike = [out[0], out[size]]  # 40 marks each
+    assert alike[1]["kept"] and alike[0]["kept"] == (size < 100) and abs(alike[0]["mark_rate"] - alike[1]["mark_rate"]) < 15
+
+
+def quality_bin(v):
+    return v if v < 256 else v >> (v.bit_length() - 8) << (v.bit_length() - 8)
+
+
 def test_quality_odd_inputs(spark):
     out = quality.quality(odd(spark)).collect()
     assert len(out) == len(ODD) + 2 and all(not r["kept"] for r in out if r["base_failed"])
@@ -155,6 +237,17 @@ def test_quality_keeps_what_labels_call_good(spark):
     assert sum(good) >= 0.95 * len(good)
 
 
+@here
+def test_sketches_decide(spark):
+    """At sf0.1 the limits of marks and word lengths differ between groups, and verdicts differ from those of one limit for all."""
+    out = quality.quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    one = quality.quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumns({"lang": F.lit("x"), "source": F.lit("y")}))
+    limits = out.select("mark_rate_high", "length_rate_low", "length_rate_high").distinct()
+    assert limits.count() > 10
+    both = out.select("doc_id", "kept").join(one.select("doc_id", F.col("kept").alias("other")), "doc_id")
+    assert both.filter("kept <> other").count() > 10
+
+
 # SimHash
 
 
@@ -209,6 +302,29 @@ def test_links_against_all_pairs(spark):
         assert {got.get(p, p) for p in g} == {min(g)}
 
 
+@pytest.mark.parametrize("crowd", [1000, 20])
+def test_links_within_a_crowd(spark, crowd):
+    """300 fingerprints share 32 bits, or all but one of them; the others are at all distances."""
+    rng = random.Random(10)
+    prints = []
+    for _ in range(100):
+        x = rng.getrandbits(32) << 32 | 0x0F0F1234
+        prints.append(x)
+        for _ in range(2):
+            for b in rng.sample(range(64), rng.randrange(1, 5)):
+                x ^= 1 << b
+            prints.append(x)
+    prints = list(dict.fromkeys(prints))
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    got = {r["node"]: r["component"] for r in simhash.components(simhash.hamming_links(df, crowd=crowd)).collect()}
+    groups = {}
+    for p, r in zip(signed, linked(prints)):
+        groups.setdefault(r, []).append(p)
+    for g in groups.values():
+        assert {got.get(p, p) for p in g} == {min(g)}
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(60))
     random.Random(1).shuffle(ids)
@@ -281,9 +397,38 @@ def test_bucket_pairs_grow_in_proportion():
     import pyarrow as pa
 
     n = 5000
-    batch = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array([1] * (hi - lo), pa.int64()), pa.array([i > 0 for i in range(lo, hi)]), pa.array(range(lo, hi), pa.int64())], names=["k", "p", "i"])
-    pairs = sum(len(b) for b in similar._bucket_pairs(iter([batch(0, 2000), batch(2000, n)])))
-    assert n <= pairs <= n * (similar.SMALL + similar.LEADERS)
+    batch = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array([1 + (i >= 4000) for i in range(lo, hi)], pa.int32()), pa.array(range(lo, hi), pa.int64())], names=["k", "i"])
+    made = [p for b in similar._bucket_pairs(iter([batch(0, 2000), batch(2000, 2000), batch(2000, n)])) for p in zip(*(c.to_pylist() for c in b.columns))]
+    want = {(i - 1, i) for i in range(1, n) if i != 4000} | {(0 if i < 4000 else 4000, i) for i in range(1, n) if i != 4000}
+    assert set(made) == want and len(made) <= 2 * n
+
+
+def test_hot_group_makes_few_pairs(spark, monkeypatch):
+    """1,500 texts at 0.4 to 0.9 of each other, few of them similar: the pairs that become rows stay near the similar ones."""
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(140)]
+    texts = []
+    for _ in range(1500):
+        ws = list(base)
+        for k in rng.sample(range(140), rng.randrange(4, 24)):
+            ws[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    rows, held = [], similar.held_links
+    monkeypatch.setattr(similar, "held_links", lambda pairs, t, s: (rows.append(pairs.count()), held(pairs, t, s))[1])
+    kept = {r["doc_id"] for r in similar.first_of_groups(docs(spark, texts)).collect()}
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    up, alike = list(range(len(texts))), 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+            alike += 1
+            x, y = i, j
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+    assert kept == {i for i in range(len(texts)) if up[i] == i} and sum(rows) < 3 * alike + 40 * len(texts)
 
 
 @pytest.mark.parametrize("block", [None, 50])
@@ -377,10 +522,28 @@ def test_code_switching():
     words = field.word_marginals(make(en) + " " + make(de))
     right = [max(p, key=p.get) == ("en" if i < 30 else "de") for i, (_, p) in enumerate(words)]
     assert sum(right) >= 55
-    names, shares = field.predict([make(en), make(de), None, "", "12 34", make(de) + "\n" + make(de) + "\n" + make(en)])
+    mixed = make(en) + "\n" + make(de)
+    assert field.predict(["½ ² ① Ⅷ", "__ 12"])[0] == ["und", "und"]
+    (name,), _, (runs,) = field.predict([mixed])
+    labels = [max(p, key=p.get) for _, p in field.word_marginals(mixed)]
+    assert [lang for lang, first, n in runs for _ in range(n)] == labels and [r[1] for r in runs] == list(itertools.accumulate([0, *(r[2] for r in runs[:-1])]))
+    names, shares, runs = field.predict([make(en), make(de), None, "", "12 34", make(de) + "\n" + make(de) + "\n" + make(en)])
+    assert runs[2] == runs[3] == runs[4] == [] and sum(n for _, _, n in runs[5]) == 90
     assert names == ["en", "de", "und", "und", "und", "de"] and shares[2:5] == [0.0] * 3 and all(0 <= x <= 1 for x in shares)
 
 
+def test_words_keep_their_marks():
+    assert language.WORD.findall("हिन्दी straße a1b x_y É") == ["हिन्दी", "straße", "a", "b", "x", "y", "É"]
+    latin = "".join(map(chr, range(256))) + " e×f ª1º"
+    assert language.LATIN_WORD.findall(latin) == language.WORD.findall(latin)
+
+
+def test_language_of_long_texts_only(spark):
+    rows = [(i, "der und das ist " * 100, "de") for i in range(1, 4)] + [(i, "the and of is it " * 10, "en") for i in range(10, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.train(df, long_text=1000).languages) == {"de", "en"}
+
+
 def test_language_odd_inputs(spark):
     out = language.languages(odd(spark)).collect()
     assert len(out) == len(ODD) + 2 and {r["lang_pred"] for r in out if r["doc_id"] in (0, 1, 2, 3)} == {"und"}
@@ -427,6 +590,33 @@ def test_crossing_rules():
     assert np.allclose(counts, [1.2, 0.6, 0.5]) and np.isclose(rest, 0.7)
 
 
+def brute_attribution(bounds, sections, rule):
+    got, rest, crossing = [0.0] * len(sections), 0.0, 0
+    holder = lambda b: max([(s[0], i) for i, s in enumerate(sections) if s[0] <= b < s[1]], default=(0, -1))[1]
+    for a, b in zip(bounds, bounds[1:]):
+        who = [holder(x) for x in range(a, b)]
+        crossing += len(set(who)) > 1
+        parts = {"start": {who[0]: 1}, "share": {k: who.count(k) / len(who) for k in who}, "majority": {max(dict.fromkeys(who), key=who.count): 1}}[rule]
+        for k, x in parts.items():
+            if k < 0:
+                rest += x
+            else:
+                got[k] += x
+    return got, rest, crossing
+
+
+def test_attribution_to_nested_empty_and_overlapping_sections():
+    rng = random.Random(7)
+    cases = [[(0, 10), (0, 0)], [(0, 10), (5, 5)], [(0, 10), (3, 6)], [(0, 5), (5, 10)], [(2, 4), (2, 4)]]
+    cases += [[tuple(sorted((rng.randrange(31), rng.randrange(31)))) for _ in range(rng.randrange(1, 6))] for _ in range(400)]
+    for sections in cases:
+        bounds = [0, *sorted(rng.sample(range(1, 31), rng.randrange(1, 20)))]
+        for rule in ("start", "share", "majority"):
+            want = brute_attribution(bounds, sections, rule)
+            got = tokencounts.attribute(np.array(bounds), np.array(sections, np.int64), rule)
+            assert np.allclose(got[0], want[0]) and np.isclose(got[1], want[1]) and got[2] == want[2], (bounds, sections, rule)
+
+
 def test_token_sections_and_odd_inputs(spark):
     df = spark.createDataFrame([(0, "äb cd", [(0, 2), (2, 5)]), (1, "x", []), (2, None, None)], "doc_id long, text string, parts array<struct<begin: long, end: long>>")
     out = tokencounts.count_tokens(df, sections="parts").orderBy("doc_id").collect()
@@ -470,6 +660,47 @@ def test_assignments_and_constants():
     assert literals("export DB_PWD=Zk9qP2mT7wLs") == ["Zk9qP2mT7wLs"]
 
 
+def test_types_and_open_lines():
+    def literals(t):
+        return [t[a:b] for k, a, b in secrets.secret_spans(t)[1] if k == "literal"]
+
+    assert literals('db_pwd: str = "Zk9qP2mT7wLs"') == literals('const dbPwd: string = "Zk9qP2mT7wLs";') == ["Zk9qP2mT7wLs"]
+    assert literals('db_pwd: Optional[str] = "Zk9qP2mT7wLs"') == ["Zk9qP2mT7wLs"]
+    assert literals('{"privateAuth":\n  "Zk9qP2mT7wLs88",\n "b": 1}') == ["Zk9qP2mT7wLs88"]
+    assert literals('db_pwd:\n  "host": "Zk9qP2mT7wLs"') == []
+
+
+def test_look_of_joined_constants_equals_that_of_the_whole():
+    rng = random.Random(9)
+    parts = ["", " ", "  ", "x", "X", "a1", "Zk9", "<", ">", "your", "%", "changeme", "none", "*", "\t", "pass word"]
+    for _ in range(3000):
+        some = rng.choices(parts, k=rng.randrange(1, 6))
+        made = secrets.Value(some[0])
+        for s in some[1:]:
+            made = secrets.Value(parts=(made, secrets.Value(s)))
+        assert np.isclose(made.look(), secrets.look("".join(some))), some
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'a = "Zk9qP2mT7wLs"\n' + "a = a + a\n" * 200 + "db_pwd = a\n",
+        's = "x1"\n' + 's = s + "x"\n' * 10_000,
+        'auth_pin = "Zk9qP2mT7wLs"\n' + 'auth_pin = auth_pin + "x1"\n' * 5_000,
+        "a" * 1_000_000,
+        "= " + '\\"' * 100_000,
+        "".join(f"password=abcdef{i}\n" for i in range(10_000)) + "".join(f'auth_pin = "Zk9qP2mT7wLs{i}"\n' for i in range(2_000)),
+        "a: " * 100_000,
+    ],
+)
+def test_hostile_texts_cost_little(text):
+    import time
+
+    start = time.process_time()
+    base, spans = secrets.secret_spans(text)
+    assert time.process_time() - start < 1.5 and base == brute_secrets(text) and len(spans) <= len(text)
+
+
 def test_secret_query_shape(spark):
     texts = ["x password=abcdef1 y", "token = \"ab\"", *ODD]
     out = {r["doc_id"]: r for r in secrets.secret_scan(docs(spark, texts)).collect()}
@@ -484,7 +715,7 @@ def test_secret_query_shape(spark):
 
 
 def test_masks_hit_every_substitution_pattern():
-    for n, k in ((13, 2), (15, 3), (20, 4)):
+    for n, k in ((13, 2), (15, 3), (20, 4), (25, 5)):
         for gone in itertools.combinations(range(n), k):
             assert any(all(s + o not in gone for o in m) for m in decontam.MASKS for s in range(n - m[-1])), (n, gone)
 
@@ -504,22 +735,60 @@ def test_overlaps():
         assert [o["item"] for o in find(", ".join(t).upper())] == [0]
     assert find(" ".join(noise(20) + item[3:11] + noise(20))) == []
     assert [o["item"] for o in find("x one two three four five six y")] == [3] and find("one two three four five") == []
+    assert [(o["item"], o["doc_begin"]) for o in find("that is too short")] == [(2, 2)] and find("too x short") == []
     assert find(None) == [] and find("") == []
 
 
-def test_contamination_in_blocks(spark):
+def test_lower_similarity_has_its_own_weights():
+    item = [f"i{k}" for k in range(18)]
+    for g in (3, 8, 13, 16):
+        item[g] = "zz"
+    text = " ".join(item)
+    items = [(0, " ".join(f"i{k}" for k in range(18)))]
+    assert decontam.TestItems(items, 18, 0.8).overlaps(text) == [] and decontam.TestItems(items, 18, 0.7).overlaps(text)[0]["n_equal"] == 14
+
+
+def test_repeated_words_cost_little():
+    import time
+
+    items = decontam.TestItems([(1, "word " * 1000), (2, "word other " * 50)], 13, 0.8)
+    start = time.process_time()
+    assert [o["n_equal"] for o in items.overlaps("word " * 50_000)] == [1000] and time.process_time() - start < 5
+
+
+def test_contamination_by_a_join(spark):
     rng = random.Random(3)
     items = [(i, " ".join(f"{i}w{rng.randrange(1000)}" for _ in range(30))) for i in range(20)]
     bench = spark.createDataFrame([*items, (99, None)], "item_id long, text string")
     texts = [f"noise {items[i][1]} noise" for i in range(20)] + ["clean text"] + ODD
     whole = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(docs(spark, texts), bench).collect()}
-    parts = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(docs(spark, texts), bench, block_chars=300).collect()}
+    parts = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(docs(spark, texts), bench, most_sent=300).collect()}
     assert whole == parts == {(i, i) for i in range(20)}
-    assert decontam.clean_of(docs(spark, texts), bench, block_chars=300).count() == len(texts) - 20
+    assert decontam.clean_of(docs(spark, texts), bench, most_sent=300).count() == len(texts) - 20
+    assert decontam.clean_of(docs(spark, texts), bench, most_sent=300).columns == docs(spark, texts).columns
     assert decontam.contamination(docs(spark, texts), bench.limit(0)).count() == 0
     assert decontam.contamination(odd(spark).limit(0), bench).count() == 0
 
 
+def test_both_ways_give_the_same_rows(spark):
+    """Substitutions, short and repeated items, repeated words, copies of a text, null ids."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"{i}w{rng.randrange(50)}" for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    items += [(60, items[0][1]), (None, items[1][1]), (61, "a b"), (62, "word " * 40), (63, ""), (64, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = list(ODD)
+    for i in range(60):
+        ws = items[i][1].split()
+        for k in rng.sample(range(len(ws)), rng.randrange(len(ws) // 4 + 1)):
+            ws[k] = "zz"
+        texts.append("noise, " * rng.randrange(5) + ", ".join(ws[rng.randrange(3) :]).upper() + " noise")
+    texts += [texts[-1], texts[-2], "a b", "so A-B it is"]
+    df = docs(spark, texts)
+    rows = lambda most: sorted(map(str, decontam.contamination(df, bench, most_sent=most).collect()))
+    kept = lambda most: sorted(r["doc_id"] for r in decontam.clean_of(df, bench, most_sent=most).collect())
+    assert rows(10**6) == rows(0) and len(rows(0)) > 40 and kept(10**6) == kept(0)
+
+
 @here
 def test_decontamination_query(spark):
     from fieldloom.llm.queries import queries
@@ -557,12 +826,14 @@ def brute_lines(texts, least=10):
     return out
 
 
-@pytest.mark.parametrize("shard_keys", [4, 8192])
-def test_line_dedup_against_brute_force(spark, shard_keys):
+@pytest.mark.parametrize("shard_keys, shard_rows, most_sent", [(4, 250_000, 200_000), (8192, 250_000, 200_000), (8192, 12, 200_000), (64, 12, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, shard_keys, shard_rows, most_sent):
+    common = linededup.common_keys
+    monkeypatch.setattr(linededup, "common_keys", lambda *a: common(*a, most_sent))
     rng = random.Random(5)
     pool = [f"Line {i} é" for i in range(60)] + ["", "  ", "\tALL of it "]
     texts = ["\n".join(rng.choices(pool, weights=[1] * 60 + [9, 9, 40], k=rng.randrange(1, 9))) for _ in range(150)] + ODD
-    got = {r["row"]["doc_id"]: (r["kept"]["n_lines"], r["kept"]["n_dropped"], r["kept"]["sha256"]) for r in linededup.dedup_lines(docs(spark, texts), shard_keys=shard_keys).collect()}
+    got = {r["row"]["doc_id"]: (r["kept"]["n_lines"], r["kept"]["n_dropped"], r["kept"]["sha256"]) for r in linededup.dedup_lines(docs(spark, texts), shard_keys=shard_keys, shard_rows=shard_rows).collect()}
     assert got == dict(enumerate(brute_lines(texts)))
 
 
@@ -599,21 +870,42 @@ def test_templates():
     assert label("Released under the MIT License.") == "mit,mit-reference"
     assert label("Licensed under CC BY-NC 4.0.") == "cc-by-nc-reference"
     assert "gpl-reference" in label("This work is licensed under the GNU General Public License, version 3.")
-    bsd = licenses.TEMPLATES["bsd"].replace("<<any:2>>", "1")
-    assert label("Copyright (c) 2020 X. " + bsd) == "bsd"
-    assert label(bsd.replace("retain", "keep")) == ""
-    grant = re.sub(r"<<optional>>.*?<<end>>", "", licenses.TEMPLATES["mit"])
-    assert label(grant) == "mit" and label(re.sub(r"<<[^>]*>>", "", licenses.TEMPLATES["mit"])) == "mit"
+    assert label("Licensed under CC BY 4.0") == "cc-by-reference" and label("licensed under CC BY 3 4 0") == ""
+    assert label("SPDX-License-Identifier:") == "" and label("SPDX-License-Identifier: ISC") == "spdx-tag"
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_each_template_with_one_word_changed(name):
+    template = licenses.TEMPLATES[name]
+    least, most = template, template
+    while "<<optional>>" in least:  # innermost regions first
+        least = re.sub(r"<<optional>>(?:(?!<<optional>>|<<end>>).)*<<end>>", "", least)
+    fill = lambda t, k: re.sub(r"<<any:(?:(\d+)-)?(\d+)>>", lambda m: " ".join(["filled"] * int(m[k] or 0)), t)
+    most = re.sub(r"<<optional>>|<<end>>", "", most)
+    found = lambda t: name in licenses.scan(t)[5].split(",")
+    least, most = fill(least, 1).split(), fill(most, 2).split()
+    assert found(" ".join(least)) and found("before, " + " ".join(most).upper() + " after")
+    ends = [e for n, b, e in licenses.template_spans(licenses.words(" ".join(most))) if n == name]
+    assert ends == [len(most)]
+    for i, w in enumerate(least):
+        if w != "filled":
+            assert not found(" ".join([*least[:i], "changed", *least[i + 1 :]])), (i, w)
+            assert not found(" ".join([*least[:i], *least[i + 1 :]])) or least[i : i + 2] == [w, w] or w in least[i - 1 : i], (i, w)
 
 
 def test_automaton_against_expansion():
-    a = licenses.Automaton("a <<optional>>b <<any:2>><<end>> c <<any:1>> d")
     words = [b"a", b"b", b"c", b"d", b"x"]
-    pattern = re.compile(r"a( b( \w){0,2})? c( \w)? d")
-    for n in range(7):
-        for ws in itertools.product(words, repeat=n):
-            text = " ".join(w.decode() for w in ws)
-            assert (a.end(list(ws), 0) is not None) == bool(pattern.match(text)), text
+    for template, pattern in (
+        ("a <<optional>>b <<any:2>><<end>> c <<any:1>> d", r"a( b( \w){0,2})? c( \w)? d"),
+        ("a <<optional>><<optional>>b<<end>> c<<end>> <<any:1-2>>", r"a(( b)? c)?( \w){1,2}"),
+        ("<<optional>>a<<optional>> b<<end>><<end>> c <<optional>>d <<any:1-1>><<end>>", r"(a( b)? )?c( d \w)?"),
+    ):
+        a = licenses.Automaton(template)
+        ends = {" ".join(["w"] * n).count("w"): n for n in range(8)}
+        for n in range(6):
+            for ws in itertools.product(words, repeat=n):
+                want = max((k for k in ends if k <= n and re.fullmatch(pattern, " ".join(w.decode() for w in ws[:k]))), default=None)
+                assert a.end(list(ws), 0) == want, (template, ws)
 
 
 def test_license_odd_inputs(spark):
@@ -626,7 +918,7 @@ def test_license_odd_inputs(spark):
 @pytest.fixture(scope="module")
 def model():
     with open(pieces.default_model(), "rb") as f:
-        return pieces.PieceModel(f.read(), 4)
+        return pieces.PieceModel(f.read(), 4, compare=True)
 
 
 def all_paths(model, unit):
@@ -662,7 +954,7 @@ def test_document_alternatives(model):
     units = pieces.UNIT.findall("▁" + text.replace(" ", "▁"))
     lists = [all_paths(model, u)[:4] for u in units]
     sums = sorted(sum(c - x[0][0] for (c, _), x in zip(combo, lists)) for combo in itertools.product(*lists))
-    assert n == len(units) and [loss for loss, _ in others] == sums[1:4]
+    assert n[0] == len(units) and [loss for loss, _ in others] == sums[1:4]
 
 
 def test_round_trip(spark, model):
@@ -677,6 +969,25 @@ def test_round_trip(spark, model):
     assert back["t"] == ODD[7]
 
 
+def test_own_encoding_beside_the_best_path(spark, model):
+    """The counts are those of the library's encoding of whole texts, and most units are cut alike."""
+    rng = random.Random(3)
+    texts = [r["text"] for r in table("documents")][:60] if os.path.isdir(DATA) else []
+    texts += ["".join(rng.choices("ab cdeth ing\n\té日😀 ", k=rng.randrange(60))) for _ in range(100)]
+    units = agree = 0
+    for text, (ids, (n, own, same), _) in zip(texts, model.encode_batch(texts), strict=True):
+        whole = model.own.encode(text)
+        assert own == len(whole) and (same == n) == (whole == ids.tolist()), text
+        units, agree = units + n, agree + same
+    assert agree > 0.75 * units
+    df = docs(spark, texts[:5])
+    got = df.select("doc_id", pieces.own_encoder()("text").alias("own")).collect()
+    assert all(r["own"] == model.own.encode(texts[r["doc_id"]]) for r in got)
+    sizes = {r["doc_id"]: (r["n_units"], r["n_own"], r["n_agree"]) for r in pieces.encode_documents(df, own=True).collect()}
+    plain = {r["doc_id"]: r["n_units"] for r in pieces.encode_documents(df).collect()}
+    assert all(sizes[i] == model.encode(t)[1] and plain[i] == sizes[i][0] for i, t in enumerate(texts[:5]))
+
+
 def test_table_of_units_starts_anew(model, monkeypatch):
     monkeypatch.setattr(pieces, "TYPES_KEPT", 50)
     with open(pieces.default_model(), "rb") as f:
@@ -706,6 +1017,53 @@ def test_pipeline(spark):
         assert jaccard(a["text"], b["text"]) < 0.8
 
 
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Awkward documents, empty ones, and small tables of labels and benchmark beside them."""
+    out = {}
+    for name, rows in (("odd", odd(spark)), ("none", odd(spark).limit(0)), ("few", odd(spark).select("doc_id", "text"))):
+        path = str(tmp_path_factory.mktemp(name))
+        rows.coalesce(2).write.mode("overwrite").parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(1, 1, 1), (3, 0, None), (None, 1, 1), (999, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(1, "no such passage in any of these texts at all, not one of its words"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        out[name] = path
+    return out
+
+
+@pytest.mark.parametrize("name", ["odd", "none", "few"])
+def test_stages_on_awkward_rows(spark, tables, name):
+    """Each stage by itself, and all together: columns stay whatever their names, every row is accounted for."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{tables[name]}/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for stage, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, tables[name])
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()]
+        if stage == "line_dedup":
+            assert sorted(map(str, got)) == sorted(str((i, t or "")) for i, t in texts)
+        elif stage == "simhash_dedup":
+            first = {}
+            for i, t in sorted(texts, key=lambda r: (r[0] is None, r[0] or 0)):
+                first.setdefault(tuple((t or "").lower().split()), i)
+            assert sorted(str(i) for i, _ in got) == sorted(map(str, first.values()))
+        else:
+            assert sorted(map(str, got)) == sorted(map(str, texts))
+    final = corpus_pipeline.run(spark, tables[name])
+    assert len(set(final.columns)) == len(final.columns) and set(docs.columns) <= set(final.columns)
+    assert final.select("doc_id").distinct().count() <= len(texts)
+
+
+@pytest.mark.parametrize("name", ["odd", "none"])
+def test_all_queries_on_awkward_rows(spark, tables, name):
+    from fieldloom.llm.queries import queries
+
+    n = spark.read.parquet(f"{tables[name]}/documents.parquet").count()
+    for q, f in queries().items():
+        out = f(spark, tables[name])
+        assert len(set(out.columns)) == len(out.columns) and out.count() == (0 if q == "op7_decontamination" else n), q
+
+
 @here
 def test_queries_beside_sql(spark):
     import duckdb
