@@ -97,7 +97,7 @@ def report_round_trip(t):
     """A report as one JSON document, written and read back."""
     path = t.folder("report")
     preds = reports(t).filter("split = 'val'").withColumn("predicted", F.col("expected"))
-    sinks.write_json(sinks.report(preds, "main", score.score_predictions(preds)), path)
+    sinks.write_report(preds, "main", score.score_predictions(preds), path)
     return ingest.read_reports(t.spark, path).select("engine", "filename", "expected.*", "raw.full", F.size("raw.blocks").alias("blocks"))
 
 

@@ -32,6 +32,8 @@ FIELD_METRICS = T.StructType(
 )
 METRICS = T.StructType([T.StructField("n", T.LongType()), T.StructField("all_fields_exact_accuracy", D), T.StructField("fields", T.MapType(S, FIELD_METRICS))])
 REPORT = T.StructType([T.StructField("engine", S), T.StructField("metrics", METRICS), T.StructField("predictions", T.ArrayType(PREDICTION))])
+#: The file's name and the end of its first line where sinks.write_report wrote a report with a prediction a line.
+REPORT_BY_LINE, REPORT_HEAD_END = "report-by-line.json", '"predictions":['
 EXPERIMENT = T.StructType([T.StructField("timestamp", S), *[T.StructField(n, S) for n in ("engine", "split", "method")], T.StructField("metrics", METRICS)])
 LOAD_LOG = T.StructType([T.StructField(n, S) for n in ("filename", "status", "reason")] + [T.StructField(n, T.IntegerType()) for n in ("height", "width", "channels")])
 RESIZE_LOG = T.StructType(
@@ -107,9 +109,17 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """engine and one row per prediction: filename, expected, predicted, raw."""
-    docs = spark.read.schema(REPORT).json(path, multiLine=True)
-    return docs.select("engine", F.explode("predictions").alias("p")).select("engine", "p.*")
+    """engine and one row per prediction: filename, expected, predicted, raw.
+
+    Files that write_report left are read by lines, in parts; any other document is read whole by one task.
+    """
+    docs = spark.read.schema(REPORT).json(path, multiLine=True).filter(F.col("_metadata.file_name") != REPORT_BY_LINE)
+    whole = docs.select("engine", F.explode("predictions").alias("p"))
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=REPORT_BY_LINE).select("value", F.col("_metadata.file_path").alias("file"))
+    is_head = F.col("value").endswith(REPORT_HEAD_END)  # a prediction's line ends with a brace
+    heads = lines.filter(is_head).select("file", F.from_json(F.concat("value", F.lit("]}")), "engine string", {"mode": "FAILFAST"})["engine"].alias("engine"))
+    body = lines.filter(~is_head & (F.col("value") != "]}")).withColumn("p", F.from_json(F.ltrim("value", F.lit(",")), PREDICTION, {"mode": "FAILFAST"}))
+    return whole.unionByName(body.join(F.broadcast(heads), "file").select("engine", "p")).select("engine", "p.*")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import FIELDS
+from ..shared import put_joined, remove, replace_folder
+from .ingest import REPORT_BY_LINE, REPORT_HEAD_END
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
@@ -44,11 +46,33 @@ def split_summary(splits: DataFrame) -> DataFrame:
 
 
 def report(predictions: DataFrame, engine: str, metrics: DataFrame) -> DataFrame:
-    """One document: engine, metrics, predictions in file-name order. For evaluation sets, which are small by nature."""
+    """One document as a row: engine, metrics, predictions in file-name order. It has to fit a task; write_report writes it at any size."""
     preds = predictions.agg(F.array_sort(F.collect_list(F.struct("filename", "expected", "predicted", "raw"))).alias("predictions"))
     return metrics.crossJoin(preds).select(F.lit(engine).alias("engine"), "metrics", "predictions")
 
 
+def write_report(predictions: DataFrame, engine: str, metrics: DataFrame, path: str) -> None:
+    """The document of report() as the one file of a folder, at any size.
+
+    It has a prediction a line, so read_reports reads it in parts. Tasks write sorted lines, and the driver's JVM copies them into the file: no task or driver
+    holds more than a prediction. A report that was there stays until the new one is whole.
+    """
+    spark = predictions.sparkSession
+    order = ["filename", "expected", "predicted", "raw"]
+    heads = metrics.select(F.to_json(F.struct(F.lit(engine).alias("engine"), "metrics"), {"ignoreNullFields": "false"})).limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("a report has one row of metrics")
+    rows = predictions.select(*order).repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    above, _, name = path.rstrip("/").rpartition("/")
+    parts = f"{above}/_{name}-{uuid.uuid4().hex}" if above else f"_{name}-{uuid.uuid4().hex}"
+    try:
+        rows.select(F.concat(F.lit(","), F.to_json(F.struct(*order))).alias("value")).write.text(parts, compression="none", lineSep="\n")
+        put_joined(spark, f"{parts}/_whole", f"{heads[0][0][:-1]},{REPORT_HEAD_END}\n".encode(), parts, b"]}\n", 1)
+        replace_folder(spark, path, REPORT_BY_LINE, f"{parts}/_whole")
+    finally:
+        remove(spark, parts)
+
+
 def write_predictions(predictions: DataFrame, path: str, engine: str) -> None:
     """The predictions as JSON lines, one a prediction: for sets of any size; aggregates go to the experiment log."""
     predictions.select(F.lit(engine).alias("engine"), "filename", "expected", "predicted", "raw").write.mode("overwrite").json(path)
@@ -95,4 +119,4 @@ def load_model(spark, path: str) -> tuple[PipelineModel, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/boilerplate")
 
 
-__all__ = ["FIELDS", "write_splits", "write_manifest", "write_csv", "write_predictions", "write_files", "reloads_equal", "split_summary", "report", "write_json", "log_experiment", "save_model", "load_model"]
+__all__ = ["FIELDS", "write_splits", "write_manifest", "write_csv", "write_predictions", "write_files", "reloads_equal", "split_summary", "report", "write_report", "write_json", "log_experiment", "save_model", "load_model"]

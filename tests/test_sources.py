@@ -54,6 +54,36 @@ def test_reports_log_and_stream(spark, tmp_path):
     assert [tuple(r)[2:] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("JANE DOE", "1990-01-02", "1990 01 02")]
 
 
+def test_report_by_line(spark, tmp_path):
+    """A report of any size: one JSON document in one file, predictions in order, read by lines in several parts."""
+    path = str(tmp_path / "r")
+    rows = [(f"{i:04d}.jpg" if i else None, {"name": 'A "B"\r\n]}', "birth_date": None, "address": ",\u2028{"}, None, {"full": f"{i}\n\"predictions\":[", "blocks": [("x", [[0.0, 1.5]], 0.5)] * (i % 3)}) for i in range(500)]
+    preds = spark.createDataFrame(rows[::-1], ingest.PREDICTION).repartition(7)
+    metrics = spark.range(1).select(F.struct(F.lit(500).cast("long").alias("n"), F.lit(0.5).alias("all_fields_exact_accuracy"), F.lit(None).cast("map<string,double>").alias("fields")).alias("metrics"))
+    plain = lambda df: sorted(map(str, df.select("filename", "expected", "predicted", "raw").collect()))
+    for df in (preds.limit(0), preds):  # the second replaces the first
+        sinks.write_report(df, "one", metrics, path)
+        files = [f for f in (tmp_path / "r").iterdir() if not f.name.startswith(".")]
+        assert len(files) == 1 and [f.name for f in tmp_path.iterdir()] == ["r"]
+        doc = json.loads(files[0].read_text())
+        assert doc["engine"] == "one" and doc["metrics"]["n"] == 500 and [p.get("filename") for p in doc["predictions"]] == [r[0] for r in rows][: df.count()]
+        assert plain(ingest.read_reports(spark, path)) == plain(df) == plain(ingest.read_reports(spark, str(files[0])))
+    with pytest.raises(ValueError):
+        sinks.write_report(preds, "one", metrics.limit(0), path)
+    (tmp_path / "r" / "other.json").write_text(json.dumps({"engine": "two", "predictions": [{"filename": "f"}]}, indent=2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = ingest.read_reports(spark, path)
+        assert got.rdd.getNumPartitions() > 5
+        assert {r["engine"]: r["n"] for r in got.groupBy("engine").agg(F.count(F.lit(1)).alias("n")).collect()} == {"one": 500, "two": 1}
+        import __spark_entry__
+
+        assert __spark_entry__.queries()["report_round_trip"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_files_and_images(spark, tmp_path):
     for n in ("a.JPG", "b.txt", "c.png"):
         (tmp_path / n).write_bytes(b"no image")
