@@ -40,6 +40,7 @@ STRING = {
     "`": re.compile(r"`[^`]*+`"),
 }
 LEX = re.compile(r"""(?P<name>[^\W\d][\w.-]*\w|[^\W\d])|(?P<op>:=|=>|==|!=|<=|>=|[=:+])|(?P<bare>[^\s"'`=:+,;(){}\[\]]+)|(?P<quote>["'`])|(?P<other>\S)""")
+SEPARATORS = re.compile(r"[\s,;)}\]]*")
 BARE = re.compile(r"[^\s\"'`,;(){}\[\]#]+")
 #: Fixed weights of words in names.
 SENSITIVE = {
@@ -153,8 +154,20 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 
 def alone(line: str, start: int) -> tuple[str, str, int, int] | None:
     """The string of a line that holds nothing else but separators."""
-    toks = lex(line, start) if len(line) < 10_000 and line.lstrip()[:1] in STRING else []
-    return toks[0] if toks and toks[0][0] == "string" and all(t[1] in (",", ";", ")", "}", "]") for t in toks[1:]) else None
+    at = len(line) - len(line.lstrip())
+    m = STRING[line[at]].match(line, at) if line[at : at + 1] in STRING else None
+    return ("string", m[0], start + at, start + m.end()) if m and SEPARATORS.fullmatch(line, m.end()) else None
+
+
+def annotation_end(toks: list[tuple[str, str, int, int]], j: int) -> int:
+    """The token after a type annotation that begins at j. Beyond 12 tokens it may hold no names side by side and no commas outside brackets, as prose does."""
+    k, depth, typed = j + 1, 0, True
+    while k < len(toks) and (toks[k][0] == "name" or toks[k][1] in ("[", "]", "|", "?", "<", ">", ",", "[]", "<>")) and (typed or k < j + 12):
+        kind, sign, _, _ = toks[k]
+        depth += (sign in ("[", "<")) - (sign in ("]", ">"))
+        typed = typed and depth >= 0 and not (kind == "name" and toks[k - 1][0] == "name") and not (sign == "," and not depth)
+        k += 1
+    return k if k <= j + 12 or typed and not depth else j
 
 
 def pairs(text: str) -> list[tuple[str, Value]]:
@@ -177,9 +190,7 @@ def pairs(text: str) -> list[tuple[str, Value]]:
             name = name[1:-1] if kind == "string" else name
             value, j = None, i + 2
             if kind == "name" and toks[i + 1][1] == ":" and toks[j][0] == "name":
-                k = j + 1
-                while k < len(toks) and k < j + 12 and (toks[k][0] == "name" or toks[k][1] in ("[", "]", "|", "?", "<", ">", ",", "[]", "<>")):
-                    k += 1
+                k = annotation_end(toks, j)
                 if k + 1 < len(toks) and toks[k][1] == "=":
                     j = k + 1
             first = j

@@ -670,6 +670,21 @@ def test_types_and_open_lines():
     assert literals('db_pwd:\n  "host": "Zk9qP2mT7wLs"') == []
 
 
+def test_literals_of_any_length_on_open_lines_and_after_any_type():
+    def literals(t):
+        return [t[a:b] for k, a, b in secrets.secret_spans(t)[1] if k == "literal"]
+
+    for n in (9_996, 9_998, 10_000, 200_000):
+        long = ("Zk9qP2mT7wLs" * (n // 12 + 1))[:n]
+        assert literals(f'{{"privateAuth":\n  "{long}",\n "b": 1}}') == [long]
+        assert literals(f'db_pwd =\n"Zk9qP2mT7wLs"{" " * n};') == ["Zk9qP2mT7wLs"]
+        assert literals(f'db_pwd =\n"{long}" "b"') == literals(f'db_pwd =\n"{long}') == []
+    for n in (1, 5, 40):
+        assert literals(f'db_pwd: {"dict[str, " * n}str{"]" * n} | None = "Zk9qP2mT7wLs"') == ["Zk9qP2mT7wLs"]
+    words = "one, two " * 20
+    assert literals(f'db_pwd: Zk9qP2mT7wLs {words}= "Ab3dE5fG7hJk"') == ["Zk9qP2mT7wLs"]
+
+
 def test_look_of_joined_constants_equals_that_of_the_whole():
     rng = random.Random(9)
     parts = ["", " ", "  ", "x", "X", "a1", "Zk9", "<", ">", "your", "%", "changeme", "none", "*", "\t", "pass word"]
@@ -691,6 +706,10 @@ def test_look_of_joined_constants_equals_that_of_the_whole():
         "= " + '\\"' * 100_000,
         "".join(f"password=abcdef{i}\n" for i in range(10_000)) + "".join(f'auth_pin = "Zk9qP2mT7wLs{i}"\n' for i in range(2_000)),
         "a: " * 100_000,
+        "db_pwd: " + "a[" * 100_000,
+        "db_pwd: a | " * 30_000,
+        "db_pwd =\n" + '"' + '\\"' * 200_000,
+        'db_pwd =\n"x" ' + ", " * 200_000 + "y",
     ],
 )
 def test_hostile_texts_cost_little(text):
